@@ -68,9 +68,10 @@ def cluster_terms(
 ) -> DataFrame:
     """The ``n`` heaviest terms of each cluster: ``(cluster, rank, term_id, w_sum[, term])``.
 
-    Ties go to the smaller term id. The rank limit is applied before the exchange as well.
+    Sums equal to nine decimals tie, and ties go to the smaller term id, so that the order of
+    float additions cannot change the ranking. The limit is applied before the exchange as well.
     """
-    rank = "row_number() OVER (PARTITION BY cluster ORDER BY w_sum DESC, term_id) AS rank"
+    rank = "row_number() OVER (PARTITION BY cluster ORDER BY round(w_sum, 9) DESC, term_id) AS rank"
     top = summed_vectors(weights, classes).selectExpr("*", rank).where(f"rank <= {n}")
     top = top.select("cluster", "rank", "term_id", "w_sum")
     if vocab is None:

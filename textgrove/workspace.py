@@ -20,6 +20,7 @@ ROWS_PER_BUCKET = 8_000_000
 MIN_ROWS_PER_BUCKET = 20_000
 MAX_BUCKETS = 100_000
 
+_open: list["Workspace"] = []
 _local_roots: dict[str, str] = {}
 
 
@@ -86,6 +87,7 @@ class Workspace:
         self.root = f"{checkpoint_root(spark)}/{self.run}"
         self.tables: list[str] = []
         self._cached: list[DataFrame] = []
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         """Write ``df`` as Parquet and return (the table read back, its row count)."""
@@ -134,3 +136,11 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _open:
+            _open.remove(self)
+
+
+def close_workspaces() -> None:
+    """Drop the intermediate tables of every run so far; their results become unreadable."""
+    for work in list(_open):
+        work.close()
