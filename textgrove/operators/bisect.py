@@ -26,6 +26,8 @@ from textgrove.operators.kmeans import (
 )
 from textgrove.workspace import broadcast_limit, local_table, row_bytes
 
+# A round whose documents are fewer than one in SHRINK of its source gets a source of its own.
+SHRINK = 4
 # Node ids double at every level and are BIGINT.
 MAX_DEPTH = 62
 K = 2
@@ -131,6 +133,8 @@ class _Grower:
         self.unsplit = unsplit
         self.round = 0
         self.label = f"bisect{len(space.work.tables)}"
+        # (space, nodes whose documents it holds).
+        self.sources: list[tuple[Space, set[int]]] = [(space, {ROOT})]
 
     def widest(self) -> int:
         """Leaves per round that keep the centres of all their children broadcastable."""
@@ -171,10 +175,26 @@ class _Grower:
             parts.append(rows.select("doc_id", node.alias("node")))
         return reduce(DataFrame.unionByName, parts)
 
+    def source(self, live: DataFrame, ids: list[int], docs: int) -> Space:
+        """The smallest stored table with all documents of ``ids``.
+
+        When the round needs only a small part of it, that part is written as a new table first:
+        every pass of this round and of the rounds below it then reads that much less.
+        """
+        whole = [s for s, held in self.sources if all(_within(i, held) for i in ids)]
+        space = min(whole, key=lambda s: s.num_doc)
+        if docs * SHRINK >= space.num_doc:
+            return space
+        part = space.weights.join(live.select("doc_id").hint("shuffle_hash"), "doc_id")
+        small = space.subset(part, docs, f"{self.label}_{self.round}_weights")
+        self.sources.append((small, set(ids)))
+        return small
+
     def _split(self, live, ids, restarts, parents) -> list[Node]:
         self.round += 1
+        docs = sum(n for p in parents.values() for n in p.sides) if parents else self.space.num_doc
         split = split_nodes(
-            self.space,
+            self.source(live, ids, docs),
             live,
             len(ids),
             K,
@@ -240,6 +260,15 @@ class _Grower:
         return (worth if self.criterion == "e1" else -worth, node.seq)
 
 
+def _within(node: int, roots: set[int]) -> bool:
+    """Whether ``node`` is one of ``roots`` or lies below one."""
+    while node >= ROOT:
+        if node in roots:
+            return True
+        node //= K
+    return False
+
+
 def _result(space, grower, root, leaves, done, criterion) -> Bisection:
     spark = space.work.spark
     members = grower.members(leaves, children=False)

@@ -9,7 +9,7 @@ sums per node and term are shuffled.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,14 +41,23 @@ class Space:
     work: Workspace
     weights: DataFrame  # (doc_id, term_id, w, norm), bucketed by doc_id
     docs: DataFrame  # (doc_id, node) with every document in the root, bucketed alike
-    total: DataFrame  # (term_id, t): summed vectors
+    centre: DataFrame  # (term_id, g): global centroid
+    square: float  # its squared length
     num_doc: int
     num_term: int
     buckets: int
-    square: float  # squared length of the global centroid
-
-    def global_centroid(self) -> DataFrame:
-        return self.total.selectExpr("term_id", f"t / {self.num_doc} AS g")
+    rows: int
+
+    def subset(self, weights: DataFrame, num_doc: int, name: str) -> Space:
+        """The same space with only the rows ``weights`` of ``num_doc`` of its documents."""
+        rows = max(1, self.rows * num_doc // max(1, self.num_doc))
+        buckets = bucket_count(self.work.spark, rows)
+        if buckets != self.buckets:
+            weights = weights.repartition(buckets, "doc_id")
+        table, written = self.work.write_bucketed(
+            weights, name, "doc_id", buckets, ["doc_id", "term_id"]
+        )
+        return replace(self, weights=table, num_doc=num_doc, buckets=buckets, rows=written)
 
 
 def prepare(weights: DataFrame, rows: int | None = None, work: Workspace | None = None) -> Space:
@@ -62,14 +71,15 @@ def prepare(weights: DataFrame, rows: int | None = None, work: Workspace | None
     buckets = bucket_count(weights.sparkSession, rows)
     placed = weights.select("doc_id", "term_id", "w").repartition(buckets, "doc_id")
     with_norm = placed.withColumn("norm", F.expr("sqrt(sum(w * w) OVER (PARTITION BY doc_id))"))
-    table, _ = work.write_bucketed(
+    table, rows = work.write_bucketed(
         with_norm, "weights", "doc_id", buckets, ["doc_id", "term_id"]
     )
     roots = table.groupBy("doc_id").agg(F.expr(f"{ROOT}L AS node"))
     docs, num_doc = work.write_bucketed(roots, "docs", "doc_id", buckets, ["doc_id"])
-    total, num_term = work.write(table.groupBy("term_id").agg(F.expr("sum(w) AS t")), "total")
-    square = total.agg(F.expr(f"coalesce(sum(pow(t / {num_doc}, 2)), 0D)")).first()[0]
-    return Space(work, table, docs, total, num_doc, num_term, buckets, square)
+    mean = table.groupBy("term_id").agg(F.expr(f"sum(w) / {num_doc} AS g"))
+    centre, num_term = work.write(mean, "centre")
+    square = centre.agg(F.expr("coalesce(sum(g * g), 0D)")).first()[0]
+    return Space(work, table, docs, centre, square, num_doc, num_term, buckets, rows)
 
 
 def slots(restarts: int, k: int) -> list[tuple[int, int]]:
@@ -329,7 +339,7 @@ def split_stats(
         *exprs("count_if(k_{r} = {j}) AS n_{r}_{j}", restarts, k),
         *exprs("sum(if(k_{r} = {j}, s_{r}, 0D)) AS S_{r}_{j}", restarts, k),
     )
-    g = broadcast_if_bounded(space.global_centroid(), space.num_term)
+    g = broadcast_if_bounded(space.centre, space.num_term)
     whole = centres.join(g, "term_id").groupBy("node").agg(
         F.expr("coalesce(sum(t * u) / nullif(sqrt(sum(t * t)), 0), 0D) AS cohesion"),
         F.expr("sum(q) AS q"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textgrove.functions.text import WORD_PATTERN, split_words, words
@@ -14,15 +14,16 @@ CONTENT_TAGS = [
 ]
 
 
-def _explode_words(df: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
-    """One row per occurrence.
+def _explode_words(df: DataFrame, doc_id: str, text: str, split) -> DataFrame:
+    """One row per occurrence, split by ``split(column)``.
 
-    Documents are hashed by id while they are still one row each: that spreads large input
-    files, moves less than the exploded tokens would, and leaves the rows placed so that every
-    per-document aggregation downstream runs without another exchange.
+    Documents are hashed by id while they are still one row of raw text each: that spreads large
+    input files, moves far less than exploded tokens would, and leaves the rows placed so that
+    every per-document aggregation downstream runs without another exchange.
     """
-    split = df.select(F.col(doc_id).alias("doc_id"), tokens.alias("words"))
-    return split.repartition("doc_id").select(
+    placed = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lists = placed.repartition("doc_id").select("doc_id", split(F.col("text")).alias("words"))
+    return lists.select(
         "doc_id",
         F.posexplode("words").alias("pos", "term"),
         F.size("words").alias("doc_len"),
@@ -31,12 +32,12 @@ def _explode_words(df: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
 
 def tokenize(df: DataFrame, doc_id: str, text: str, pattern: str = WORD_PATTERN) -> DataFrame:
     """``tokens(doc_id, pos, term, doc_len)`` from raw text; documents without words drop out."""
-    return _explode_words(df, doc_id, words(F.col(text), pattern))
+    return _explode_words(df, doc_id, text, lambda column: words(column, pattern))
 
 
 def tokens_from_words(df: DataFrame, doc_id: str, line: str) -> DataFrame:
     """``tokens`` from lines of single-space separated words, empty words included."""
-    return _explode_words(df, doc_id, split_words(F.col(line)))
+    return _explode_words(df, doc_id, line, split_words)
 
 
 def keep_tagged(tokens: DataFrame, lexicon: DataFrame, tags: list[str] = NOUN_TAGS) -> DataFrame:

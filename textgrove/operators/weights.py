@@ -12,11 +12,14 @@ FILTER_SCALE = 5
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
-    """``tf(doc_id, term, tf)``: occurrences over document length, divided once per row."""
-    counted = tokens.groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("n"), F.max("doc_len").alias("doc_len")
-    )
-    return counted.select("doc_id", "term", (F.col("n") / F.col("doc_len")).alias("tf"))
+    """``tf(doc_id, term, tf)``: each occurrence weighs one over the length of its line.
+
+    Occurrences are counted first and divided once, so equal counts give equal values; lines
+    that share an id add up.
+    """
+    counted = tokens.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("n"))
+    share = F.sum(F.col("n") / F.col("doc_len"))
+    return counted.groupBy("doc_id", "term").agg(share.alias("tf"))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:

@@ -17,16 +17,21 @@ from textgrove.workspace import Workspace, broadcast_if_bounded
 
 @dataclass
 class Corpus:
-    space: Space
+    """Weights of a document collection with the tables they come from."""
+
+    work: Workspace
     tf: DataFrame
     vocab: DataFrame  # (term, term_id, df)
     num_term: int
+    weights: DataFrame
+    rows: int  # upper bound of the rows of ``weights``
+
+    def space(self) -> Space:
+        return prepare(self.weights, self.rows, self.work)
 
 
-def document_space(
-    texts: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
+def corpus(
+    tokens: DataFrame,
     scale: float | None = None,
     df_min: int | None = None,
     df_max: int | None = None,
@@ -34,32 +39,24 @@ def document_space(
     idf: str = "smooth",
     work: Workspace | None = None,
 ) -> Corpus:
-    """Weights of ``texts`` ready for clustering.
+    """TF-IDF weights of ``tokens``.
 
     Term frequencies and vocabulary are written once: both are read several times, and their row
     counts size the buckets and prove whether the vocabulary may be broadcast.
     """
-    return token_space(
-        tokenize(texts, doc_id, text), scale, df_min, df_max, n_basis, idf, work
-    )
-
-
-def token_space(
-    tokens: DataFrame,
-    scale: float | None = None,
-    df_min: int | None = None,
-    df_max: int | None = None,
-    n_basis: str = "post",
-    idf: str = "smooth",
-    work: Workspace | None = None,
-) -> Corpus:
-    """As ``document_space``, from any token source."""
     work = work or Workspace(tokens.sparkSession)
     tf, rows = work.write(term_freq(tokens), "tf")
     kept = band(doc_freq(tf), scale, df_min, df_max)
     vocab, num_term = work.write(vocabulary(kept), "vocab")
     weights = tfidf(tf, broadcast_if_bounded(vocab, num_term), n_basis, idf)
-    return Corpus(prepare(weights, rows, work), tf, vocab, num_term)
+    return Corpus(work, tf, vocab, num_term, weights, rows)
+
+
+def document_corpus(
+    texts: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
+) -> Corpus:
+    """``corpus`` of raw texts."""
+    return corpus(tokenize(texts, doc_id, text), **options)
 
 
 def cluster_documents(
@@ -67,21 +64,22 @@ def cluster_documents(
 ) -> tuple[Bisection, dict[str, DataFrame]]:
     """Cluster ``texts(doc_id, text)`` and describe the clusters; write all tables below ``path``.
 
-    ``options`` are those of ``document_space`` and ``bisect``.
+    ``options`` are those of ``corpus`` and ``bisect``.
     """
     names = ("scale", "df_min", "df_max", "n_basis", "idf")
-    corpus = document_space(texts, **{k: options.pop(k) for k in names if k in options})
-    tree = bisect(corpus.space, **options)
+    found = document_corpus(texts, **{k: options.pop(k) for k in names if k in options})
+    space = found.space()
+    tree = bisect(space, **options)
     clusters = tree.summary["clusters"]
     tables = {
         "report": tree.report,
         "classes": tree.classes,
-        "cluster_terms": reports.summed_vectors(corpus.space.weights, tree.classes),
-        "top_terms": reports.cluster_terms(corpus.space.weights, tree.classes, corpus.vocab, top),
+        "cluster_terms": reports.summed_vectors(space.weights, tree.classes),
+        "top_terms": reports.cluster_terms(space.weights, tree.classes, found.vocab, top),
         "samples": reports.cluster_samples(tree.classes, texts, top, clusters),
     }
     if path is not None:
-        sinks.write_summary(texts.sparkSession, tree.summary, f"{path}/summary", corpus.vocab)
+        sinks.write_summary(texts.sparkSession, tree.summary, f"{path}/summary", found.vocab)
         members = tree.classes.select("doc_id", "cluster")
         sinks.write_report(tree.report, tables["cluster_terms"], members, f"{path}/clusters")
         sinks.write_classes(tree.classes, f"{path}/class")

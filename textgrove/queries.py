@@ -14,7 +14,7 @@ from textgrove.operators import kmeans as km
 from textgrove.operators import network, quality, report, tokens, weights
 from textgrove.operators.bisect import bisect
 from textgrove.operators.criteria import metric_of, split_score
-from textgrove.plans.documents import document_space
+from textgrove.plans.documents import document_corpus
 from textgrove.plans.words import word_space
 from textgrove.sources import readers, sinks
 from textgrove.sources.numbering import number_rows
@@ -47,10 +47,12 @@ def _df(spark, sf):
     return weights.doc_freq(_tf(spark, sf))
 
 
-def _weights(spark, sf, n_basis="post", idf="smooth", **bounds):
-    tf = _tf(spark, sf)
-    vocab = weights.vocabulary(weights.band(weights.doc_freq(tf), **bounds))
-    return weights.tfidf(tf, vocab, n_basis, idf)
+def _corpus(spark, sf, **options):
+    return document_corpus(table(spark, sf, "documents"), **options)
+
+
+def _weights(spark, sf, **options):
+    return _corpus(spark, sf, **options).weights
 
 
 def _vectors(spark, sf):
@@ -134,17 +136,17 @@ def idf_legacy(spark, sf):
 
 
 def tfidf_pre(spark, sf):
-    rows = _weights(spark, sf, "pre", scale=weights.FILTER_SCALE)
+    rows = _weights(spark, sf, n_basis="pre", scale=weights.FILTER_SCALE)
     return rows.select("doc_id", "term_id", r6("w").alias("w"))
 
 
 def tfidf_post(spark, sf):
-    rows = _weights(spark, sf, "post", scale=weights.FILTER_SCALE)
+    rows = _weights(spark, sf, n_basis="post", scale=weights.FILTER_SCALE)
     return rows.select("doc_id", "term_id", r6("w").alias("w"))
 
 
 def tfidf_legacy(spark, sf):
-    rows = _weights(spark, sf, "pre", "legacy")
+    rows = _weights(spark, sf, n_basis="pre", idf="legacy")
     return rows.select("doc_id", "term_id", r6("w").alias("w"))
 
 
@@ -261,7 +263,7 @@ def ingested(spark, sf):
 
 
 def _document_space(spark, sf):
-    return document_space(table(spark, sf, "documents"), df_min=20, df_max=200).space
+    return _corpus(spark, sf, df_min=20, df_max=200).space()
 
 
 def _embedding_space(spark, sf):
@@ -370,7 +372,7 @@ def bisect_documents(spark, sf):
 
 def tree_documents(spark, sf):
     """The full default run on the unfiltered vocabulary: the report of 20 clusters."""
-    space = document_space(table(spark, sf, "documents")).space
+    space = _corpus(spark, sf).space()
     return bisect(space, FULL_TREE, "i2", seed=SEED).report
 
 
@@ -397,10 +399,8 @@ def cluster_vectors(spark, sf):
 
 def cluster_terms(spark, sf):
     """Heaviest TF-IDF terms per language."""
-    tf = _tf(spark, sf)
-    vocab = weights.vocabulary(weights.doc_freq(tf))
-    rows = weights.tfidf(tf, vocab)
-    top = report.cluster_terms(rows, _by_lang(spark, sf), vocab, 100)
+    found = _corpus(spark, sf)
+    top = report.cluster_terms(found.weights, _by_lang(spark, sf), found.vocab, 100)
     return top.select("cluster", "rank", "term", r6("w_sum").alias("w_sum"))
 
 
