@@ -185,7 +185,7 @@ class _Grower:
         space = min(whole, key=lambda s: s.num_doc)
         if docs * SHRINK >= space.num_doc:
             return space
-        part = space.weights.join(live.select("doc_id").hint("shuffle_hash"), "doc_id")
+        part = space.table.join(live.select("doc_id").hint("shuffle_hash"), "doc_id")
         small = space.subset(part, docs, f"{self.label}_{self.round}_weights")
         self.sources.append((small, set(ids)))
         return small
@@ -196,7 +196,6 @@ class _Grower:
         split = split_nodes(
             self.source(live, ids, docs),
             live,
-            len(ids),
             K,
             self.metric,
             self.max_iter,
@@ -308,12 +307,15 @@ def _result(space, grower, root, leaves, done, criterion) -> Bisection:
             "cluster": pa.array([number.get(n.node) for n in everyone], pa.int32()),
         },
     )
-    moved = shifts(root.split.centres, K, grower.init_restarts, grower.metric).first()
+    first_split = root.split
+    moved = shifts(
+        space, first_split.centres, first_split.before, grower.init_restarts, K, grower.metric
+    )
     summary = {
         "criterion": criterion,
         "restart": root.restart,
         "iterations": root.split.iterations(ROOT, root.restart),
-        "shift": moved[f"shift_{root.restart}"],
+        "shift": moved[ROOT, root.restart],
         "score": root.score,
         "separation": sum(root.side_e),
         "num_doc": space.num_doc,

@@ -1,9 +1,9 @@
 """Seeded, restarted K-means over many tree nodes at once.
 
 Weights stay long and bucketed by document. One pass assigns every live document for every
-restart (centres are a wide table: one row per node and term, one column per restart and side),
-a second pass sums the new centres. Neither moves a weight row between executors: only partial
-sums per node and term are shuffled.
+restart (centres are a wide table: one row per node and term, one column per restart and side)
+and sums the new centres in the same job. No weight row moves between executors: only partial
+sums per node and term are shuffled. The driver sees one row per node.
 """
 
 from __future__ import annotations
@@ -34,30 +34,38 @@ TIE = 1e-12
 ROOT = 1
 
 
+# Term id of the row every document has beside its coordinates: its value 1 makes each centre
+# table carry the number of documents per side.
+COUNT = -1
+
+
 @dataclass
 class Space:
     """Weights prepared for iteration, with the numbers that bound its small tables."""
 
     work: Workspace
-    weights: DataFrame  # (doc_id, term_id, w, norm), bucketed by doc_id
+    table: DataFrame  # (doc_id, term_id, w, norm) with the COUNT rows, bucketed by doc_id
     docs: DataFrame  # (doc_id, node) with every document in the root, bucketed alike
     centre: DataFrame  # (term_id, g): global centroid
     square: float  # its squared length
     num_doc: int
     num_term: int
     buckets: int
-    rows: int
+    rows: int  # approximate rows of ``table``
+
+    @property
+    def weights(self) -> DataFrame:
+        """``(doc_id, term_id, w, norm)``."""
+        return self.table.where(f"term_id <> {COUNT}")
 
-    def subset(self, weights: DataFrame, num_doc: int, name: str) -> Space:
-        """The same space with only the rows ``weights`` of ``num_doc`` of its documents."""
+    def subset(self, part: DataFrame, num_doc: int, name: str) -> Space:
+        """The same space with only the rows ``part`` of ``num_doc`` of its documents."""
         rows = max(1, self.rows * num_doc // max(1, self.num_doc))
         buckets = bucket_count(self.work.spark, rows)
         if buckets != self.buckets:
-            weights = weights.repartition(buckets, "doc_id")
-        table, written = self.work.write_bucketed(
-            weights, name, "doc_id", buckets, ["doc_id", "term_id"]
-        )
-        return replace(self, weights=table, num_doc=num_doc, buckets=buckets, rows=written)
+            part = part.repartition(buckets, "doc_id")
+        table = self.work.write_bucketed(part, name, "doc_id", buckets, ["doc_id", "term_id"])
+        return replace(self, table=table, num_doc=num_doc, buckets=buckets, rows=rows)
 
 
 def prepare(weights: DataFrame, rows: int | None = None, work: Workspace | None = None) -> Space:
@@ -71,15 +79,17 @@ def prepare(weights: DataFrame, rows: int | None = None, work: Workspace | None
     buckets = bucket_count(weights.sparkSession, rows)
     placed = weights.select("doc_id", "term_id", "w").repartition(buckets, "doc_id")
     with_norm = placed.withColumn("norm", F.expr("sqrt(sum(w * w) OVER (PARTITION BY doc_id))"))
-    table, rows = work.write_bucketed(
-        with_norm, "weights", "doc_id", buckets, ["doc_id", "term_id"]
-    )
-    roots = table.groupBy("doc_id").agg(F.expr(f"{ROOT}L AS node"))
-    docs, num_doc = work.write_bucketed(roots, "docs", "doc_id", buckets, ["doc_id"])
+    order = ["doc_id", "term_id"]
+    table = work.write_bucketed(with_norm, "weights", "doc_id", buckets, order)
+    roots = table.groupBy("doc_id").agg(F.expr(f"{ROOT}L AS node"), F.max("norm").alias("norm"))
+    docs = work.write_bucketed(roots, "docs", "doc_id", buckets, ["doc_id"])
+    num_doc = docs.count()
     mean = table.groupBy("term_id").agg(F.expr(f"sum(w) / {num_doc} AS g"))
-    centre, num_term = work.write(mean, "centre")
-    square = centre.agg(F.expr("coalesce(sum(g * g), 0D)")).first()[0]
-    return Space(work, table, docs, centre, square, num_doc, num_term, buckets, rows)
+    centre = work.write(mean, "centre")
+    num_term, square = centre.agg(F.expr("count(1)"), F.expr("coalesce(sum(g * g), 0D)")).first()
+    count_rows = docs.selectExpr("doc_id", f"{COUNT} AS term_id", "1D AS w", "norm")
+    table = work.write_bucketed(count_rows, "weights", "doc_id", buckets, order)
+    return Space(work, table, docs, centre, square, num_doc, num_term, buckets, rows + num_doc)
 
 
 def slots(restarts: int, k: int) -> list[tuple[int, int]]:
@@ -110,7 +120,7 @@ def pick_seeds(live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
     return ranked.where(f"k < {k}").select("node", "restart", "k", "doc_id")
 
 
-def _seed_centres(space: Space, live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
+def _seed_sums(space: Space, live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
     # At most nodes * restarts * k ids: few enough to prune buckets and row groups with.
     chosen = pick_seeds(live, k, restarts, seed).collect()
     ids = sorted({row.doc_id for row in chosen})
@@ -120,9 +130,9 @@ def _seed_centres(space: Space, live: DataFrame, k: int, restarts: int, seed: in
         "slot": pa.array([row.restart * k + row.k for row in chosen], pa.int32()),
     }
     table = F.broadcast(local_table(space.work.spark, columns))
-    rows = space.weights.where(F.col("doc_id").isin(ids)).join(table, "doc_id")
+    rows = space.table.where(F.col("doc_id").isin(ids)).join(table, "doc_id")
     return rows.groupBy("node", "term_id").agg(
-        *exprs("sum(if(slot = {s}, w, 0D)) AS c_{r}_{j}", restarts, k)
+        *exprs("sum(if(slot = {s}, w, 0D)) AS x_{r}_{j}", restarts, k)
     )
 
 
@@ -143,48 +153,79 @@ def nearest(values: list[str], metric: str) -> tuple[str, str]:
     return f"CASE {' '.join(cases)} END", best
 
 
-# Similarity (or squared distance) from a dot product d and the lengths of both vectors;
-# zero vectors have similarity 0.
+# Similarity (or squared distance) from the dot product d with a summed side, the length l of the
+# sum and its number of documents n; zero vectors have similarity 0.
 VALUE = {
     "cosine": "if(norm * {l} > 0, {d} / (norm * {l}), 0D)",
-    "euclid": "greatest(0D, norm * norm + {l} * {l} - 2 * {d})",
+    "euclid": "greatest(0D, norm * norm + {l} * {l} / ({n} * {n}) - 2 * {d} / {n})",
 }
 
 
+@dataclass
+class Centres:
+    """Summed vectors per node, restart and side, with their sizes and lengths on the driver."""
+
+    sums: DataFrame  # (node, term_id, x_r_j…), the COUNT row holds the sizes
+    n: dict[tuple[int, int, int], float]  # (node, restart, side) -> documents
+    l: dict[tuple[int, int, int], float]  # -> length of the sum  # noqa: E741
+    nodes: list[int]
+
+    def local(self, space: Space, restarts: int, k: int) -> DataFrame:
+        """One row per node with the columns ``l_r_j`` and ``n_r_j`` (at least 1)."""
+        columns = {"node": pa.array(self.nodes, pa.int64())}
+        for r, j in slots(restarts, k):
+            columns[f"l_{r}_{j}"] = pa.array([self.l[i, r, j] for i in self.nodes], pa.float64())
+            sizes = [max(1.0, self.n[i, r, j]) for i in self.nodes]
+            columns[f"n_{r}_{j}"] = pa.array(sizes, pa.float64())
+        return F.broadcast(local_table(space.work.spark, columns))
+
+
+def _measure(sums: DataFrame, restarts: int, k: int) -> Centres:
+    rows = (
+        sums.groupBy("node")
+        .agg(
+            *exprs(f"sum(if(term_id = {COUNT}, x_{{r}}_{{j}}, 0D)) AS n_{{r}}_{{j}}", restarts, k),
+            *exprs(
+                f"sqrt(sum(if(term_id = {COUNT}, 0D, x_{{r}}_{{j}} * x_{{r}}_{{j}}))) AS l_{{r}}_{{j}}",
+                restarts,
+                k,
+            ),
+        )
+        .collect()
+    )
+    pick = lambda c: {
+        (row.node, r, j): row[f"{c}_{r}_{j}"] for row in rows for r, j in slots(restarts, k)
+    }
+    return Centres(sums, pick("n"), pick("l"), sorted(row.node for row in rows))
+
+
 def score_docs(
-    space: Space,
-    live: DataFrame,
-    centres: DataFrame,
-    nodes: int,
-    k: int,
-    restarts: int,
-    metric: str,
+    space: Space, live: DataFrame, centres: Centres, k: int, restarts: int, metric: str
 ) -> DataFrame:
     """``(doc_id, node, k_r…, s_r…)``: nearest centre and its score per restart.
 
     The outer join keeps documents that share no term with any centre (all dots zero).
     """
-    lengths = centres.groupBy("node").agg(
-        *exprs("sqrt(sum(c_{r}_{j} * c_{r}_{j})) AS l_{r}_{j}", restarts, k)
+    pairs = slots(restarts, k)
+    wide = centres.sums.where(f"term_id <> {COUNT}").select(
+        "node", "term_id", *[f"x_{r}_{j}" for r, j in pairs]
     )
-    columns = ["node", "term_id", *[f"c_{r}_{j}" for r, j in slots(restarts, k)]]
-    small = broadcast_if_bounded(centres.select(*columns), nodes * space.num_term)
-    data = space.weights.join(live.select("doc_id", "node").hint("shuffle_hash"), "doc_id")
+    small = broadcast_if_bounded(wide, len(centres.nodes) * space.num_term)
+    data = space.table.join(live.select("doc_id", "node").hint("shuffle_hash"), "doc_id")
     dots = (
         data.join(small, ["node", "term_id"], "left")
         .groupBy("doc_id", "node")
         .agg(
             F.expr("max(norm) AS norm"),
-            *exprs("coalesce(sum(w * c_{r}_{j}), 0D) AS d_{r}_{j}", restarts, k),
+            *exprs("coalesce(sum(w * x_{r}_{j}), 0D) AS d_{r}_{j}", restarts, k),
         )
     )
-    # ``lengths`` has one row per node.
-    values = dots.join(F.broadcast(lengths), "node").selectExpr(
+    values = dots.join(centres.local(space, restarts, k), "node").selectExpr(
         "doc_id",
         "node",
         *[
-            VALUE[metric].format(d=f"d_{r}_{j}", l=f"l_{r}_{j}") + f" AS v_{r}_{j}"
-            for r, j in slots(restarts, k)
+            VALUE[metric].format(d=f"d_{r}_{j}", l=f"l_{r}_{j}", n=f"n_{r}_{j}") + f" AS v_{r}_{j}"
+            for r, j in pairs
         ],
     )
     output = []
@@ -194,25 +235,15 @@ def score_docs(
     return values.selectExpr("doc_id", "node", *output)
 
 
-def _new_centres(
-    space: Space,
-    assigned: DataFrame,
-    old: DataFrame,
-    nodes: int,
-    k: int,
-    restarts: int,
-    done: list[set[int]],
-) -> DataFrame:
-    """Mean per node, restart and side (``c_r_j``) next to the centre it replaces (``o_r_j``).
+def _sum_sides(space: Space, assigned: DataFrame, restarts: int, k: int) -> DataFrame:
+    """``(node, term_id, t, u, q, x_r_j…)``: summed vectors per restart and side.
 
-    A side without documents keeps its old centre, and so do the restarts that had already
-    converged (``done``: nodes per restart). ``t``, ``u`` and ``q`` sum the vectors, the unit
-    vectors and the squares of each whole node: enough for its unsplit score without another
-    pass.
+    ``t``, ``u`` and ``q`` sum the vectors, the unit vectors and the squares of each whole node:
+    enough for its unsplit score without another pass.
     """
     sides = assigned.select("doc_id", "node", *[f"k_{r}" for r in range(restarts)])
-    sums = (
-        space.weights.join(sides.hint("shuffle_hash"), "doc_id")
+    return (
+        space.table.join(sides.hint("shuffle_hash"), "doc_id")
         .groupBy("node", "term_id")
         .agg(
             F.expr("sum(w) AS t"),
@@ -221,44 +252,66 @@ def _new_centres(
             *exprs("sum(if(k_{r} = {j}, w, 0D)) AS x_{r}_{j}", restarts, k),
         )
     )
-    counts = assigned.groupBy("node").agg(
-        *exprs("count_if(k_{r} = {j}) AS n_{r}_{j}", restarts, k)
-    )
-    # A node's centres are made of its own documents' terms, so ``sums`` covers every old row.
-    known = old.selectExpr(
-        "node", "term_id", *[f"c_{r}_{j} AS o_{r}_{j}" for r, j in slots(restarts, k)]
-    )
-    known = broadcast_if_bounded(known, nodes * space.num_term)
-    joined = sums.join(known, ["node", "term_id"], "left").join(F.broadcast(counts), "node")
-    centres = []
-    for r, j in slots(restarts, k):
-        moves = f"n_{r}_{j} > 0"
-        if done[r]:
-            moves += f" AND node NOT IN ({', '.join(map(str, sorted(done[r])))})"
-        centres.append(
-            f"if({moves}, x_{r}_{j} / n_{r}_{j}, coalesce(o_{r}_{j}, 0D)) AS c_{r}_{j}"
-        )
-        centres.append(f"coalesce(o_{r}_{j}, 0D) AS o_{r}_{j}")
-    return joined.selectExpr("node", "term_id", "t", "u", "q", *centres)
 
 
-def shifts(centres: DataFrame, k: int, restarts: int, metric: str) -> DataFrame:
-    """``(node, shift_r…)``: how far the centres of each restart moved in the last update."""
-    parts = centres.groupBy("node").agg(
-        *exprs("sum(c_{r}_{j} * o_{r}_{j}) AS p_{r}_{j}", restarts, k),
-        *exprs("sum(c_{r}_{j} * c_{r}_{j}) AS a_{r}_{j}", restarts, k),
-        *exprs("sum(o_{r}_{j} * o_{r}_{j}) AS b_{r}_{j}", restarts, k),
-        *exprs("sum(pow(c_{r}_{j} - o_{r}_{j}, 2)) AS m_{r}_{j}", restarts, k),
+def _keep_old(
+    space: Space, new: Centres, old: Centres, held: list[tuple[int, int, int]], name: str
+) -> Centres:
+    """Put back the previous sums of the sides in ``held`` (emptied or converged)."""
+    keep: dict[tuple[int, int], list[int]] = {}
+    for node, r, j in held:
+        keep.setdefault((r, j), []).append(node)
+    before = old.sums.selectExpr("node", "term_id", *[f"x_{r}_{j} AS o_{r}_{j}" for r, j in keep])
+    # A node's centres are made of its own documents' terms, so ``new`` covers every old row.
+    before = broadcast_if_bounded(before, len(new.nodes) * space.num_term)
+    joined = new.sums.join(before, ["node", "term_id"], "left")
+    for (r, j), nodes in keep.items():
+        here = f"node IN ({', '.join(map(str, nodes))})"
+        value = f"if({here}, coalesce(o_{r}_{j}, 0D), x_{r}_{j})"
+        joined = joined.withColumn(f"x_{r}_{j}", F.expr(value))
+    sums = space.work.write(joined.select(new.sums.columns), name)
+    n = new.n | {side: old.n[side] for side in held}
+    lengths = new.l | {side: old.l[side] for side in held}
+    return Centres(sums, n, lengths, new.nodes)
+
+
+def shifts(
+    space: Space, new: Centres, old: Centres, restarts: int, k: int, metric: str
+) -> dict[tuple[int, int], float]:
+    """(node, restart) -> how far its centres moved: summed ``1 - cos`` or squared distance."""
+    pairs = slots(restarts, k)
+    sides = [f"x_{r}_{j}" for r, j in pairs]
+    before = old.sums.selectExpr("node", "term_id", *[f"{x} AS o{x}" for x in sides])
+    before = broadcast_if_bounded(before, len(new.nodes) * space.num_term)
+    joined = new.sums.where(f"term_id <> {COUNT}").join(before, ["node", "term_id"], "left")
+    sizes = lambda c: c.local(space, restarts, k)
+    named = sizes(old).selectExpr("node", *[f"n_{r}_{j} AS m_{r}_{j}" for r, j in pairs])
+    joined = joined.join(sizes(new), "node").join(F.broadcast(named), "node")
+    gap = "x_{r}_{j} / n_{r}_{j} - coalesce(ox_{r}_{j}, 0D) / m_{r}_{j}"
+    rows = (
+        joined.groupBy("node")
+        .agg(
+            *exprs("coalesce(sum(x_{r}_{j} * ox_{r}_{j}), 0D) AS p_{r}_{j}", restarts, k),
+            *exprs(f"sum(pow({gap}, 2)) AS g_{{r}}_{{j}}", restarts, k),
+        )
+        .collect()
     )
-    # A zero centre that stays zero has not moved.
-    move = "if(a_{r}_{j} + b_{r}_{j} > 0, 1 - coalesce(p_{r}_{j} / nullif(sqrt(a_{r}_{j} * b_{r}_{j}), 0), 0), 0)"
-    if metric == "euclid":
-        move = "m_{r}_{j}"
-    totals = [
-        " + ".join(move.format(r=r, j=j) for j in range(k)) + f" AS shift_{r}"
+
+    def move(row, r, j):
+        if metric == "euclid":
+            return row[f"g_{r}_{j}"]
+        side = (row.node, r, j)
+        scale = new.l[side] * old.l[side]
+        if scale > 0:
+            return 1 - row[f"p_{r}_{j}"] / scale
+        # A zero centre that stays zero has not moved.
+        return 0.0 if new.l[side] == old.l[side] else 1.0
+
+    return {
+        (row.node, r): sum(move(row, r, j) for j in range(k))
+        for row in rows
         for r in range(restarts)
-    ]
-    return parts.selectExpr("node", *totals)
+    }
 
 
 # --- all iterations --------------------------------------------------------------------------
@@ -269,7 +322,8 @@ class Split:
     """Result of K-means on a set of nodes."""
 
     assigned: DataFrame  # (doc_id, node, k_r…, s_r…), bucketed by doc_id
-    centres: DataFrame  # (node, term_id, c_r_j…)
+    centres: Centres
+    before: Centres  # the centres one iteration earlier
     stats: DataFrame  # one row per node, see split_stats
     steps: int  # iterations run
     converged: dict = field(default_factory=dict)  # (node, restart) -> iteration, if earlier
@@ -281,7 +335,6 @@ class Split:
 def split_nodes(
     space: Space,
     live: DataFrame,
-    nodes: int,
     k: int = 2,
     metric: str = "cosine",
     max_iter: int | None = 2,
@@ -290,76 +343,85 @@ def split_nodes(
     eps: float | None = 0.0,
     label: str = "split",
 ) -> Split:
-    """K-means with restarts inside each of ``nodes`` tree nodes of ``live(doc_id, node)``.
+    """K-means with restarts inside every tree node of ``live(doc_id, node)``.
 
     Stops at ``max_iter`` (None: only on convergence), or when every restart of every node moved
-    by no more than ``eps``. Centres are written after each iteration: a table of at most
-    ``nodes * num_term`` rows.
+    by no more than ``eps``. Centres are written after each iteration: a table of at most one row
+    per node and term.
     """
-    work = space.work
     if max_iter is None and eps is None:
         raise ValueError("unlimited iterations need eps")
+    work = space.work
     # With eps=0 an early stop cannot change the result, so short runs skip the check.
     watch = eps is not None and (eps > 0 or max_iter is None or max_iter > 3)
-    centres = _seed_centres(space, live, k, restarts, seed)
-    done: list[set[int]] = [set() for _ in range(restarts)]
-    ran: dict[tuple[int, int], int] = {}
+    seeded = work.write(_seed_sums(space, live, k, restarts, seed), f"{label}_seeds")
+    centres = before = _measure(seeded, restarts, k)
+    converged: dict[tuple[int, int], int] = {}
     step = 0
     while max_iter is None or step < max_iter:
         step += 1
-        assigned = work.keep(score_docs(space, live, centres, nodes, k, restarts, metric))
-        update = _new_centres(space, assigned, centres, nodes, k, restarts, done)
-        centres, _ = work.write(update, f"{label}_centres_{step}")
-        work.release()
+        before = centres
+        assigned = score_docs(space, live, before, k, restarts, metric)
+        sums = work.write(_sum_sides(space, assigned, restarts, k), f"{label}_centres_{step}")
+        centres = _measure(sums, restarts, k)
+        held = [s for s, n in centres.n.items() if n == 0 or s[:2] in converged]
+        if any(before.n[side] for side in held):
+            centres = _keep_old(space, centres, before, held, f"{label}_kept_{step}")
         if not watch:
             continue
-        for row in shifts(centres, k, restarts, metric).collect():
-            for r in range(restarts):
-                if row.node not in done[r] and row[f"shift_{r}"] <= eps:
-                    done[r].add(row.node)
-                    ran[row.node, r] = step
-        if all(len(converged) == nodes for converged in done):
+        for pair, moved in shifts(space, centres, before, restarts, k, metric).items():
+            if moved <= eps:
+                converged.setdefault(pair, step)
+        if len(converged) == len(centres.nodes) * restarts:
             break
-    scored = score_docs(space, live, centres, nodes, k, restarts, metric)
-    assigned, _ = work.write_bucketed(
+    scored = score_docs(space, live, centres, k, restarts, metric)
+    assigned = work.write_bucketed(
         scored, f"{label}_assigned", "doc_id", space.buckets, ["node", "doc_id"]
     )
-    stats = split_stats(space, assigned, centres, nodes, k, restarts)
-    return Split(assigned, centres, stats, step, ran)
+    stats = split_stats(space, assigned, centres, k, restarts)
+    return Split(assigned, centres, before, stats, step, converged)
 
 
 def split_stats(
-    space: Space, assigned: DataFrame, centres: DataFrame, nodes: int, k: int, restarts: int
+    space: Space, assigned: DataFrame, centres: Centres, k: int, restarts: int
 ) -> DataFrame:
     """One row per node: ``n``; per side ``n_r_j``, ``S_r_j``, ``E_r_j`` and ``D_r_j`` (similarity
     and squared distance of its centre to the global centroid); ``cohesion`` and ``sse`` unsplit.
     """
+    pairs = slots(restarts, k)
     counted = assigned.groupBy("node").agg(
         F.expr("count(1) AS n"),
         *exprs("count_if(k_{r} = {j}) AS n_{r}_{j}", restarts, k),
         *exprs("sum(if(k_{r} = {j}, s_{r}, 0D)) AS S_{r}_{j}", restarts, k),
     )
     g = broadcast_if_bounded(space.centre, space.num_term)
-    whole = centres.join(g, "term_id").groupBy("node").agg(
+    whole = centres.sums.join(g, "term_id").groupBy("node").agg(
         F.expr("coalesce(sum(t * u) / nullif(sqrt(sum(t * t)), 0), 0D) AS cohesion"),
         F.expr("sum(q) AS q"),
         F.expr("sum(t * t) AS tt"),
-        *exprs(
-            "coalesce(sum(c_{r}_{j} * g) / nullif(sqrt(sum(c_{r}_{j} * c_{r}_{j})), 0), 0D) "
-            "AS cos_{r}_{j}",
-            restarts,
-            k,
-        ),
-        # Squared distance to g, short of the |g|^2 of terms outside the node.
-        *exprs("sum(c_{r}_{j} * (c_{r}_{j} - 2 * g)) AS gap_{r}_{j}", restarts, k),
+        *exprs("sum(x_{r}_{j} * g) AS xg_{r}_{j}", restarts, k),
     )
-    scale = 1 / math.sqrt(space.square) if space.square > 0 else 0.0
-    # Both sides hold one row per node.
-    return counted.join(F.broadcast(whole), "node").selectExpr(
-        "*",
+    sizes = centres.local(space, restarts, k).selectExpr(
+        "node", *[f"n_{r}_{j} AS m_{r}_{j}" for r, j in pairs], *[f"l_{r}_{j}" for r, j in pairs]
+    )
+    g_length = math.sqrt(space.square)
+    # All three have one row per node.
+    joined = counted.join(F.broadcast(whole), "node").join(F.broadcast(sizes), "node")
+    return joined.selectExpr(
+        "node",
+        "n",
+        "cohesion",
         "greatest(0D, q - tt / n) AS sse",
-        *[f"cos_{r}_{j} * {scale!r}D AS E_{r}_{j}" for r, j in slots(restarts, k)],
-        *[f"gap_{r}_{j} + {space.square!r}D AS D_{r}_{j}" for r, j in slots(restarts, k)],
+        *[f"n_{r}_{j}" for r, j in pairs],
+        *[f"S_{r}_{j}" for r, j in pairs],
+        *[
+            f"coalesce(xg_{r}_{j} / nullif(l_{r}_{j} * {g_length!r}D, 0), 0D) AS E_{r}_{j}"
+            for r, j in pairs
+        ],
+        *[
+            f"pow(l_{r}_{j} / m_{r}_{j}, 2) - 2 * xg_{r}_{j} / m_{r}_{j} + {space.square!r}D AS D_{r}_{j}"
+            for r, j in pairs
+        ],
     )
 
 
@@ -408,14 +470,16 @@ def kmeans(
         raise ValueError(f"criterion {criterion} does not go with metric {metric}")
     space = weights if isinstance(weights, Space) else prepare(weights, rows)
     label = f"kmeans{len(space.work.tables)}"
-    split = split_nodes(space, space.docs, 1, k, metric, max_iter, restarts, seed, eps, label)
+    split = split_nodes(space, space.docs, k, metric, max_iter, restarts, seed, eps, label)
     row = split.stats.first()
     best, score = rank_restarts(row, criterion, k, restarts)[0]
     assign_best = split.assigned.select(
         "doc_id", F.col(f"k_{best}").alias("k"), F.col(f"s_{best}").alias("score")
     )
-    sides = F.array(*[F.col(f"c_{best}_{j}") for j in range(k)])
-    centres = split.centres.select("term_id", F.posexplode(sides).alias("k", "w"))
+    sizes = [max(1.0, split.centres.n[ROOT, best, j]) for j in range(k)]
+    sides = F.array(*[F.col(f"x_{best}_{j}") / sizes[j] for j in range(k)])
+    sums = split.centres.sums.where(f"term_id <> {COUNT}")
+    centres = sums.select("term_id", F.posexplode(sides).alias("k", "w"))
     cells = [(r, j, float(row[f"S_{r}_{j}"]), row[f"n_{r}_{j}"]) for r, j in slots(restarts, k)]
     scores = local_table(
         space.work.spark,
@@ -430,7 +494,7 @@ def kmeans(
     summary = {
         "restart": best,
         "iterations": split.iterations(ROOT, best),
-        "shift": shifts(split.centres, k, restarts, metric).first()[f"shift_{best}"],
+        "shift": shifts(space, split.centres, split.before, restarts, k, metric)[ROOT, best],
         "score": score,
         "separation": sum(row[f"{separation}_{best}_{j}"] for j in range(k)),
         "num_doc": space.num_doc,
@@ -465,7 +529,7 @@ def assign(
     )
     named = dots.withColumns({f"l_{j}": F.coalesce(length[j], F.lit(0.0)) for j in sides})
     values = named.selectExpr(
-        "doc_id", *[VALUE[metric].format(d=f"d_{j}", l=f"l_{j}") + f" AS v_{j}" for j in sides]
+        "doc_id", *[VALUE[metric].format(d=f"d_{j}", l=f"l_{j}", n="1") + f" AS v_{j}" for j in sides]
     )
     index, best = nearest([f"v_{j}" for j in sides], metric)
     return values.selectExpr("doc_id", f"{index} AS k", f"{best} AS score")

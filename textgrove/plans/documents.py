@@ -24,7 +24,7 @@ class Corpus:
     vocab: DataFrame  # (term, term_id, df)
     num_term: int
     weights: DataFrame
-    rows: int  # upper bound of the rows of ``weights``
+    rows: int  # rows of ``weights``: every term has one per document
 
     def space(self) -> Space:
         return prepare(self.weights, self.rows, self.work)
@@ -41,13 +41,14 @@ def corpus(
 ) -> Corpus:
     """TF-IDF weights of ``tokens``.
 
-    Term frequencies and vocabulary are written once: both are read several times, and their row
-    counts size the buckets and prove whether the vocabulary may be broadcast.
+    Term frequencies and vocabulary are written once: both are read several times, and the
+    vocabulary tells how many rows the weights have and whether it may be broadcast itself.
     """
     work = work or Workspace(tokens.sparkSession)
-    tf, rows = work.write(term_freq(tokens), "tf")
+    tf = work.write(term_freq(tokens), "tf")
     kept = band(doc_freq(tf), scale, df_min, df_max)
-    vocab, num_term = work.write(vocabulary(kept), "vocab")
+    vocab = work.write(vocabulary(kept), "vocab")
+    num_term, rows = vocab.selectExpr("count(1)", "coalesce(sum(df), 0)").first()
     weights = tfidf(tf, broadcast_if_bounded(vocab, num_term), n_basis, idf)
     return Corpus(work, tf, vocab, num_term, weights, rows)
 

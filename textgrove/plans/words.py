@@ -23,9 +23,9 @@ class Network:
 def word_space(lines: DataFrame, window: int = WINDOW, work: Workspace | None = None) -> Network:
     """Word vectors of ``lines(doc_id, words)``, raw counts, ready for clustering."""
     work = work or Workspace(lines.sparkSession)
-    cooc, rows = work.write(cooccurrence(lines, window), "cooc")
-    vocab, num_term = work.write(word_vocabulary(cooc), "words")
-    return Network(prepare(word_weights(cooc, vocab, num_term), rows, work), cooc, vocab)
+    cooc = work.write(cooccurrence(lines, window), "cooc")
+    vocab = work.write(word_vocabulary(cooc), "words")
+    return Network(prepare(word_weights(cooc, vocab, vocab.count()), cooc.count(), work), cooc, vocab)
 
 
 def cluster_words(

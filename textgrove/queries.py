@@ -324,7 +324,7 @@ def kmeans_centres(spark, sf):
 def _split(space, criterion):
     """Score of the first split of the whole set, per restart."""
     metric = metric_of(criterion)
-    stats = km.split_nodes(space, space.docs, 1, 2, metric, seed=SEED).stats
+    stats = km.split_nodes(space, space.docs, 2, metric, seed=SEED).stats
     rows = None
     for r in range(2):
         S = [F.col(f"S_{r}_{j}") for j in range(2)]
@@ -342,7 +342,7 @@ def split_query(criterion):
 def separation(spark, sf):
     """Similarity of each first centre to the global centroid, per restart."""
     space = _embedding_space(spark, sf)
-    stats = km.split_nodes(space, space.docs, 1, 2, "cosine", seed=SEED).stats
+    stats = km.split_nodes(space, space.docs, 2, "cosine", seed=SEED).stats
     sides = F.expr(
         "stack(4, 0, 0, E_0_0, D_0_0, 0, 1, E_0_1, D_0_1, 1, 0, E_1_0, D_1_0, 1, 1, E_1_1, D_1_1)"
         " AS (restart, k, e, d)"

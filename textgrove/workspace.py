@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A build side is broadcast only while its row bound times its row width stays below this.
@@ -86,50 +86,38 @@ class Workspace:
         self.run = "tg_" + uuid.uuid4().hex[:12]
         self.root = f"{checkpoint_root(spark)}/{self.run}"
         self.tables: list[str] = []
-        self._cached: list[DataFrame] = []
         _open.append(self)
 
-    def write(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Write ``df`` as Parquet and return (the table read back, its row count)."""
-        seen = Observation()
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and return the table read back.
+
+        Row counts are taken from the stored table where needed (Parquet footers), not from
+        accumulators, which count twice when a stage is repeated.
+        """
         path = f"{self.root}/{name}"
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def write_bucketed(
         self, df: DataFrame, name: str, key: str, buckets: int, sort: list[str]
-    ) -> tuple[DataFrame, int]:
+    ) -> DataFrame:
         """Write ``df`` bucketed by ``key``, sorted inside each bucket for row-group pruning.
 
         ``df`` should arrive hashed by ``key`` into ``buckets`` partitions, which gives one file
-        per bucket. Later joins and aggregations on ``key`` need no exchange on this side.
+        per bucket. Later joins and aggregations on ``key`` need no exchange on this side. A
+        second write to the same name appends.
         """
-        seen = Observation()
         table = f"{self.run}_{name}"
-        (
-            df.observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.format("parquet")
-            .bucketBy(buckets, key)
-            .sortBy(*sort)
-            .option("path", f"{self.root}/{name}")
-            .saveAsTable(table)
-        )
-        self.tables.append(table)
-        return self.spark.table(table), seen.get["rows"]
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Cache ``df`` until the next ``release``; blocks that get lost are recomputed."""
-        df = df.persist()
-        self._cached.append(df)
-        return df
-
-    def release(self) -> None:
-        for df in self._cached:
-            df.unpersist()
-        self._cached.clear()
+        writer = df.write.format("parquet").bucketBy(buckets, key).sortBy(*sort)
+        writer = writer.option("path", f"{self.root}/{name}")
+        if table in self.tables:
+            writer.mode("append").saveAsTable(table)
+        else:
+            writer.saveAsTable(table)
+            self.tables.append(table)
+        return self.spark.table(table)
 
     def close(self) -> None:
-        self.release()
         for table in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.tables.clear()
