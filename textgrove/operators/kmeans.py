@@ -115,9 +115,10 @@ def pick_seeds(live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
     digests = live.selectExpr(
         "doc_id", "node", f"explode(sequence(0, {restarts - 1})) AS restart"
     ).withColumn("digest", F.expr(f"md5(concat_ws(':', '{seed}', restart, node, doc_id))"))
-    rank = "row_number() OVER (PARTITION BY node, restart ORDER BY digest, doc_id) - 1"
-    ranked = digests.withColumn("k", F.expr(rank))
-    return ranked.where(f"k < {k}").select("node", "restart", "k", "doc_id")
+    rank = "row_number() OVER (PARTITION BY node, restart ORDER BY digest, doc_id) AS rank"
+    # The limit is pushed below the exchange only if it tests the bare row number.
+    first = digests.selectExpr("*", rank).where(f"rank <= {k}")
+    return first.selectExpr("node", "restart", "rank - 1 AS k", "doc_id")
 
 
 def _seed_sums(space: Space, live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
