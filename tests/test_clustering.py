@@ -10,6 +10,7 @@ from textgrove.operators import report, weights
 from textgrove.operators.bisect import bisect
 from textgrove.operators.criteria import gain, split_score, unsplit_score
 from textgrove.plans.documents import document_corpus
+from textgrove.queries import QUERIES
 from textgrove.workspace import BROADCAST_LIMIT_CONF, close_workspaces
 
 # Two small sets with a given split and their scores, worked out by hand.
@@ -182,9 +183,12 @@ def test_result_does_not_depend_on_how_it_is_computed(spark, embeddings, monkeyp
     rows = embedding_weights(embeddings).persist()
     want = outcome(bisect(rows, 10, "i2"))
     assert outcome(bisect(rows.repartition(5, "term_id"), 10, "i2", lookahead=1)) == want
-    monkeypatch.setattr(bi, "SHRINK", 1)  # a source of its own for every round
-    assert outcome(bisect(rows, 10, "i2")) == want
-    monkeypatch.setattr(bi, "SHRINK", 10**9)  # never
+    monkeypatch.setattr(bi, "SHRINK_MIN_ROWS", 0)
+    monkeypatch.setattr(bi, "SHRINK", 1)  # a source of its own for nearly every round
+    tree = bisect(rows, 10, "i2", lookahead=2)
+    assert outcome(tree) == want
+    assert any("weights" in name for name in tree.space.work.tables[3:])
+    monkeypatch.setattr(bi, "SHRINK_MIN_ROWS", 10**9)
     spark.conf.set(BROADCAST_LIMIT_CONF, "0")  # no centre table may be broadcast
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -194,6 +198,25 @@ def test_result_does_not_depend_on_how_it_is_computed(spark, embeddings, monkeyp
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_full_tree_queries_match_restatement(spark, vectors, documents):
+    """The two registered runs to 20 clusters, on all rows of the smallest tables."""
+    nodes, _ = restate.bisect(vectors, 20, "h1")
+    tree = {r.node: r for r in QUERIES["tree_embeddings"](spark, SMALL).collect()}
+    sizes = {node: list(nodes.values()).count(node) for node in set(nodes.values())}
+    assert {n: r.n for n, r in tree.items() if r.cluster is not None} == sizes
+
+    found = document_corpus(documents)
+    rows = {}
+    for r in found.weights.collect():
+        rows.setdefault(r.doc_id, np.zeros(found.num_term))[r.term_id] = r.w
+    nodes, gains = restate.bisect(rows, 20, "i2")
+    sizes = {node: list(nodes.values()).count(node) for node in set(nodes.values())}
+    got = QUERIES["tree_documents"](spark, SMALL).collect()
+    assert {r.node: r.n for r in got} == sizes
+    for r in got:
+        assert r.gain == (None if gains[r.node] is None else pytest.approx(gains[r.node], abs=1e-7))
+
+
 def test_tree_invariants(spark, embeddings, vectors):
     tree = bisect(embedding_weights(embeddings), 12, "i2")
     report_rows = tree.report.collect()

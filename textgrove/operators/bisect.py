@@ -24,10 +24,12 @@ from textgrove.operators.kmeans import (
     shifts,
     split_nodes,
 )
-from textgrove.workspace import broadcast_limit, local_table, row_bytes
+from textgrove.workspace import ROWS_PER_BUCKET, broadcast_limit, local_table, row_bytes
 
 # A round whose documents are fewer than one in SHRINK of its source gets a source of its own.
+# Sources of less than one full bucket are cheaper to read whole than to write again.
 SHRINK = 4
+SHRINK_MIN_ROWS = ROWS_PER_BUCKET
 # Node ids double at every level and are BIGINT.
 MAX_DEPTH = 62
 K = 2
@@ -183,7 +185,7 @@ class _Grower:
         """
         whole = [s for s, held in self.sources if all(_within(i, held) for i in ids)]
         space = min(whole, key=lambda s: s.num_doc)
-        if docs * SHRINK >= space.num_doc:
+        if space.rows < SHRINK_MIN_ROWS or docs * SHRINK >= space.num_doc:
             return space
         part = space.table.join(live.select("doc_id").hint("shuffle_hash"), "doc_id")
         small = space.subset(part, docs, f"{self.label}_{self.round}_weights")
