@@ -140,8 +140,8 @@ def test_empty_side_keeps_its_centre_and_ranks_last(spark):
 
 @pytest.mark.parametrize("criterion", ["i1", "i2", "e1", "h1", "h2", "sse", "largest"])
 def test_bisect_matches_restatement(spark, embeddings, vectors, criterion):
-    tree = bisect(embedding_weights(embeddings), 9, criterion, seed=7)
-    nodes, gains = restate.bisect(vectors, 9, criterion)
+    tree = bisect(embedding_weights(embeddings), 6, criterion, seed=7)
+    nodes, gains = restate.bisect(vectors, 6, criterion)
     assert {r.doc_id: r.node for r in tree.classes.collect()} == nodes
     for row in tree.report.collect():
         want = gains[row.node]
@@ -166,8 +166,8 @@ def test_bisect_documents_matches_restatement(spark, documents):
     vectors = {}
     for r in found.weights.collect():
         vectors.setdefault(r.doc_id, np.zeros(found.num_term))[r.term_id] = r.w
-    tree = bisect(space, 12, "i2")
-    nodes, _ = restate.bisect(vectors, 12, "i2")
+    tree = bisect(space, 6, "i2")
+    nodes, _ = restate.bisect(vectors, 6, "i2")
     assert {r.doc_id: r.node for r in tree.classes.collect()} == nodes
 
 
@@ -181,18 +181,18 @@ def outcome(tree):
 
 def test_result_does_not_depend_on_how_it_is_computed(spark, embeddings, monkeypatch):
     rows = embedding_weights(embeddings).persist()
-    want = outcome(bisect(rows, 10, "i2"))
-    assert outcome(bisect(rows.repartition(5, "term_id"), 10, "i2", lookahead=1)) == want
+    want = outcome(bisect(rows, 6, "i2"))
+    assert outcome(bisect(rows.repartition(5, "term_id"), 6, "i2", lookahead=1)) == want
     monkeypatch.setattr(bi, "SHRINK_MIN_ROWS", 0)
     monkeypatch.setattr(bi, "SHRINK", 1)  # a source of its own for nearly every round
-    tree = bisect(rows, 10, "i2", lookahead=2)
+    tree = bisect(rows, 6, "i2", lookahead=2)
     assert outcome(tree) == want
-    assert any("weights" in name for name in tree.space.work.tables[3:])
+    assert any("weights" in name for name in tree.space.work.tables[2:])
     monkeypatch.setattr(bi, "SHRINK_MIN_ROWS", 10**9)
     spark.conf.set(BROADCAST_LIMIT_CONF, "0")  # no centre table may be broadcast
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert outcome(bisect(rows, 10, "i2")) == want
+        assert outcome(bisect(rows, 6, "i2")) == want
     finally:
         spark.conf.unset(BROADCAST_LIMIT_CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -218,14 +218,14 @@ def test_full_tree_queries_match_restatement(spark, vectors, documents):
 
 
 def test_tree_invariants(spark, embeddings, vectors):
-    tree = bisect(embedding_weights(embeddings), 12, "i2")
+    tree = bisect(embedding_weights(embeddings), 8, "i2")
     report_rows = tree.report.collect()
     assert sum(r.n for r in report_rows) == len(vectors) == tree.classes.count()
     assert tree.classes.select("doc_id").distinct().count() == len(vectors)
     assert [r.n for r in report_rows] == sorted((r.n for r in report_rows), reverse=True)
     assert all(r.cohesion <= r.n + 1e-9 for r in report_rows)
     nodes = {r.node: r for r in tree.tree.collect()}
-    assert len(nodes) == 23
+    assert len(nodes) == 15
     for r in nodes.values():
         if r.split_order is not None:
             assert nodes[2 * r.node].n + nodes[2 * r.node + 1].n == r.n

@@ -109,9 +109,9 @@ def bisect(
         if stop_no_gain and best.gain is not None and best.gain < 0:
             break
         if best.children is None:
-            width = max(1, min(lookahead, cluster_num - len(frontier), grower.widest()))
+            width = max(1, min(lookahead, cluster_num - len(frontier)))
             waiting = [n for n in ready if n.children is None]
-            grower.expand(waiting[:width])
+            grower.expand(grower.broadcastable(waiting[:width]))
         best.popped = len(done) + 1
         done.append(best)
         frontier.remove(best)
@@ -138,11 +138,17 @@ class _Grower:
         # (space, nodes whose documents it holds).
         self.sources: list[tuple[Space, set[int]]] = [(space, {ROOT})]
 
-    def widest(self) -> int:
-        """Leaves per round that keep the centres of all their children broadcastable."""
-        columns = 2 + K * self.restarts
-        bytes_per_node = max(1, self.space.num_term * row_bytes(columns))
-        return broadcast_limit(self.space.work.spark) // (K * bytes_per_node)
+    def broadcastable(self, nodes: list[Node]) -> list[Node]:
+        """The first of ``nodes`` (at least one) whose children's centres may be broadcast
+        together: two children have no more terms than twice their parent."""
+        room = broadcast_limit(self.space.work.spark) // row_bytes(2 + K * self.restarts)
+        chosen: list[Node] = []
+        for n in nodes:
+            room -= K * n.split.centres.terms[n.node]
+            if chosen and room < 0:
+                break
+            chosen.append(n)
+        return chosen
 
     def plant(self, restarts: int) -> Node:
         self.init_restarts = restarts

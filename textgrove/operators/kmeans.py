@@ -169,7 +169,15 @@ class Centres:
     sums: DataFrame  # (node, term_id, x_r_j…), the COUNT row holds the sizes
     n: dict[tuple[int, int, int], float]  # (node, restart, side) -> documents
     l: dict[tuple[int, int, int], float]  # -> length of the sum  # noqa: E741
-    nodes: list[int]
+    terms: dict[int, int]  # node -> its rows in ``sums``
+
+    @property
+    def nodes(self) -> list[int]:
+        return sorted(self.terms)
+
+    @property
+    def rows(self) -> int:
+        return sum(self.terms.values())
 
     def local(self, space: Space, restarts: int, k: int) -> DataFrame:
         """One row per node with the columns ``l_r_j`` and ``n_r_j`` (at least 1)."""
@@ -191,13 +199,14 @@ def _measure(sums: DataFrame, restarts: int, k: int) -> Centres:
                 restarts,
                 k,
             ),
+            F.expr("count(1) AS terms"),
         )
         .collect()
     )
     pick = lambda c: {
         (row.node, r, j): row[f"{c}_{r}_{j}"] for row in rows for r, j in slots(restarts, k)
     }
-    return Centres(sums, pick("n"), pick("l"), sorted(row.node for row in rows))
+    return Centres(sums, pick("n"), pick("l"), {row.node: row.terms for row in rows})
 
 
 def score_docs(
@@ -211,7 +220,7 @@ def score_docs(
     wide = centres.sums.where(f"term_id <> {COUNT}").select(
         "node", "term_id", *[f"x_{r}_{j}" for r, j in pairs]
     )
-    small = broadcast_if_bounded(wide, len(centres.nodes) * space.num_term)
+    small = broadcast_if_bounded(wide, centres.rows)
     data = space.table.join(live.select("doc_id", "node").hint("shuffle_hash"), "doc_id")
     dots = (
         data.join(small, ["node", "term_id"], "left")
@@ -264,7 +273,7 @@ def _keep_old(
         keep.setdefault((r, j), []).append(node)
     before = old.sums.selectExpr("node", "term_id", *[f"x_{r}_{j} AS o_{r}_{j}" for r, j in keep])
     # A node's centres are made of its own documents' terms, so ``new`` covers every old row.
-    before = broadcast_if_bounded(before, len(new.nodes) * space.num_term)
+    before = broadcast_if_bounded(before, old.rows)
     joined = new.sums.join(before, ["node", "term_id"], "left")
     for (r, j), nodes in keep.items():
         here = f"node IN ({', '.join(map(str, nodes))})"
@@ -273,7 +282,7 @@ def _keep_old(
     sums = space.work.write(joined.select(new.sums.columns), name)
     n = new.n | {side: old.n[side] for side in held}
     lengths = new.l | {side: old.l[side] for side in held}
-    return Centres(sums, n, lengths, new.nodes)
+    return Centres(sums, n, lengths, new.terms)
 
 
 def shifts(
@@ -283,7 +292,7 @@ def shifts(
     pairs = slots(restarts, k)
     sides = [f"x_{r}_{j}" for r, j in pairs]
     before = old.sums.selectExpr("node", "term_id", *[f"{x} AS o{x}" for x in sides])
-    before = broadcast_if_bounded(before, len(new.nodes) * space.num_term)
+    before = broadcast_if_bounded(before, old.rows)
     joined = new.sums.where(f"term_id <> {COUNT}").join(before, ["node", "term_id"], "left")
     sizes = lambda c: c.local(space, restarts, k)
     named = sizes(old).selectExpr("node", *[f"n_{r}_{j} AS m_{r}_{j}" for r, j in pairs])

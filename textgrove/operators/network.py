@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgrove.sources.numbering import number_rows
-from textgrove.workspace import broadcast_if_bounded
+from textgrove.workspace import broadcast_if_bounded, shuffle_tasks
 
 # Fixed value: words before a position that count again.
 WINDOW = 10
@@ -48,7 +48,8 @@ def _line_pairs(lines: DataFrame) -> DataFrame:
     """Whole-line part: ``(w1, w2, n)`` with ``w1 <= w2``."""
     blocks = F.ceil(F.size(F.array_distinct("words")) / BLOCK).cast("int")
     counts = (
-        lines.select("line", "m", blocks.alias("blocks"), F.explode("words").alias("term"))
+        lines.withColumn("blocks", blocks)
+        .select("line", "m", "blocks", F.explode("words").alias("term"))
         .groupBy("line", "m", "blocks", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -58,8 +59,10 @@ def _line_pairs(lines: DataFrame) -> DataFrame:
     )
     left = packed.select("line", "m", F.col("block").alias("ba"), F.col("terms").alias("ta"))
     right = packed.select("line", F.col("block").alias("bb"), F.col("terms").alias("tb"))
-    # A row per pair of blocks, spread over all tasks before the pairs are formed.
-    steps = left.join(right, "line").where("ba <= bb").repartition("line", "ba", "bb")
+    # A row per pair of blocks, spread over all tasks before the pairs are formed. The number of
+    # tasks is fixed because these rows are small but grow by a factor of BLOCK.
+    tasks = shuffle_tasks(lines.sparkSession)
+    steps = left.join(right, "line").where("ba <= bb").repartition(tasks, "line", "ba", "bb")
     pairs = (
         steps.select("m", (F.col("ba") == F.col("bb")).alias("same"), "tb", F.explode("ta").alias("a"))
         .select("m", "same", "a", F.explode("tb").alias("b"))

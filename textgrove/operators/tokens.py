@@ -23,11 +23,12 @@ def _explode_words(df: DataFrame, doc_id: str, text: str, split) -> DataFrame:
     """
     placed = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lists = placed.repartition("doc_id").select("doc_id", split(F.col("text")).alias("words"))
-    return lists.select(
-        "doc_id",
-        F.posexplode("words").alias("pos", "term"),
-        F.size("words").alias("doc_len"),
-    )
+    # The length is taken before the explode, which would otherwise copy the array to every row.
+    # The outer form keeps the optimizer from testing for empty lists below the exchange, where
+    # it would split every text a second time.
+    sized = lists.withColumn("doc_len", F.size("words"))
+    exploded = sized.select("doc_id", F.posexplode_outer("words").alias("pos", "term"), "doc_len")
+    return exploded.where(F.col("term").isNotNull())
 
 
 def tokenize(df: DataFrame, doc_id: str, text: str, pattern: str = WORD_PATTERN) -> DataFrame:

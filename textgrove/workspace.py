@@ -47,6 +47,11 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_LIMIT_CONF, str(BROADCAST_LIMIT_BYTES)))
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Partitions for a shuffle whose rows expand afterwards, so that AQE cannot size it."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def row_bytes(columns: int) -> int:
     """Upper estimate of one hashed row with ``columns`` eight-byte columns."""
     return 64 + 8 * columns
