@@ -57,8 +57,8 @@ def test_topic_rows(spark, tmp_path):
 
 
 def test_ingest(spark, tmp_path):
-    rows = spark.createDataFrame([(7, "old", "long", "short")], "_id long, title string, content string, content168 string")
-    done = sinks.ingest(rows, "_id", "content168")
+    rows = spark.createDataFrame([(7, "old", "long", "short")], "_id long, title string, content string, short_text string")
+    done = sinks.ingest(rows, "_id", "short_text")
     assert done.select("doc_id", "title", "content").first() == (7, "", "short")
     sinks.write_texts(done, f"{tmp_path}/texts")
     assert spark.read.text(f"{tmp_path}/texts").first().value == "7\tshort"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgrove.sources.numbering import number_rows
-from textgrove.workspace import broadcast_if_bounded, shuffle_tasks
+from textgrove.workspace import Workspace, broadcast_if_bounded, shuffle_tasks
 
 # Fixed value: words before a position that count again.
 WINDOW = 10
@@ -114,10 +114,10 @@ def cooccurrence(lines: DataFrame, window: int = WINDOW) -> DataFrame:
     return half.select("n", both).select("p.w1", "p.w2", "n")
 
 
-def word_vocabulary(cooc: DataFrame) -> DataFrame:
+def word_vocabulary(cooc: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``(term, term_id)`` of all words of the network, dense ids in word order."""
     terms = cooc.select(F.col("w1").alias("term")).distinct()
-    numbered = number_rows(terms, ["term"], "line_no")
+    numbered = number_rows(terms, ["term"], "line_no", work)
     return numbered.select("term", (F.col("line_no") - 1).cast("int").alias("term_id"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgrove.sources.numbering import number_rows
+from textgrove.workspace import Workspace
 
 # Fixed value: default scale of the vocabulary band.
 FILTER_SCALE = 5
@@ -67,9 +68,9 @@ def band(
     return kept
 
 
-def vocabulary(df: DataFrame) -> DataFrame:
+def vocabulary(df: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``vocab(term, term_id, df)`` with dense ids 0.. in term order."""
-    numbered = number_rows(df, ["term"], "line_no")
+    numbered = number_rows(df, ["term"], "line_no", work)
     return numbered.select("term", (F.col("line_no") - 1).cast("int").alias("term_id"), "df")
 
 

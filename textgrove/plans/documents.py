@@ -47,7 +47,7 @@ def corpus(
     work = work or Workspace(tokens.sparkSession)
     tf = work.write(term_freq(tokens), "tf")
     kept = band(doc_freq(tf), scale, df_min, df_max)
-    vocab = work.write(vocabulary(kept), "vocab")
+    vocab = work.write(vocabulary(kept, work), "vocab")
     num_term, rows = vocab.selectExpr("count(1)", "coalesce(sum(df), 0)").first()
     weights = tfidf(tf, broadcast_if_bounded(vocab, num_term), n_basis, idf)
     return Corpus(work, tf, vocab, num_term, weights, rows)

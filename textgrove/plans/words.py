@@ -24,7 +24,7 @@ def word_space(lines: DataFrame, window: int = WINDOW, work: Workspace | None =
     """Word vectors of ``lines(doc_id, words)``, raw counts, ready for clustering."""
     work = work or Workspace(lines.sparkSession)
     cooc = work.write(cooccurrence(lines, window), "cooc")
-    vocab = work.write(word_vocabulary(cooc), "words")
+    vocab = work.write(word_vocabulary(cooc, work), "words")
     return Network(prepare(word_weights(cooc, vocab, vocab.count()), cooc.count(), work), cooc, vocab)
 
 

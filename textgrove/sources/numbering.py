@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textgrove.workspace import Workspace
+
 # Fixed value: monotonically_increasing_id keeps the partition above this many row bits.
 ROW_BITS = 33
 
 
-def number_rows(df: DataFrame, order: list[str] | None = None, name: str = "line_no") -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    order: list[str] | None = None,
+    name: str = "line_no",
+    work: Workspace | None = None,
+) -> DataFrame:
     """Add a dense 1-based number in ``order`` (or in partition order when no key exists).
 
     Rows are range-partitioned and sorted, each partition counts its rows, and the running
     total of those counts (one row per partition) is added as an offset. Only the offsets are
-    brought together. The sorted rows are cached so that both uses see the same partitions.
+    brought together. Both uses must see the same partitions, so the sorted rows are written to
+    ``work``, or cached when no workspace is given.
     """
     placed = df
     if order:
         placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     raw = F.monotonically_increasing_id()
-    placed = placed.withColumn("_row", raw).persist()
+    placed = placed.withColumn("_row", raw)
+    placed = placed.persist() if work is None else work.write(placed, f"sorted_{name}")
     part = F.shiftright("_row", ROW_BITS)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per partition of the input, so this window is bounded by the partition count.
