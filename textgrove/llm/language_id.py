@@ -85,10 +85,13 @@ class CrossParser:
         for name in self.languages:
             ids = [BLANK if c == " " else self.letter.get(c, OTHER) for c in joined[name]]
             table = suffix_automaton([i for i in ids if i != OTHER], self.width)
-            first = np.where(table[0] < 0, 0, table[0]) + start
-            tables.append(np.where(table < 0, ~first[None, :], table + start).astype(np.int32))
+            lone = len(table)  # the state of a phrase that is one unmatched character
+            first = np.where(table[0] < 0, lone, table[0]) + start
+            table = np.where(table < 0, ~first[None, :], table + start)
+            table[0] = first  # nothing is open at the start, so nothing ends there
+            tables.append(np.vstack([table, ~first]).astype(np.int32))
             roots.append(start)
-            start += len(table)
+            start += lone + 1
         self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
         self.roots = np.array(roots, np.int32)
 
