@@ -330,7 +330,7 @@ TURN_LINE = (
     "(SELECT CASE WHEN role = 'assistant' THEN concat(conv_id, chr(9), turn) ELSE concat(conv_id, '-', turn) END"
     " || chr(9) || text AS line FROM conversations)"
 )
-DOCS = tfidf(BOUNDS)
+DOCS = tfidf(ALL)
 
 ORACLES = {
     "tok_counts": query(TF, "SELECT doc_id, term, n FROM counted"),
@@ -447,7 +447,7 @@ ORACLES = {
     "cluster_vectors": query(
         tfidf(ALL) + [f"cls AS ({LANG})"],
         "SELECT * FROM (SELECT cluster, term_id, round(sum(w), 6) AS w_sum FROM weights JOIN cls USING (doc_id)"
-        " GROUP BY cluster, term_id) WHERE w_sum <> 0",
+        " GROUP BY cluster, term_id HAVING sum(w) <> 0)",
     ),
     "cluster_terms": query(
         tfidf(ALL)
@@ -496,10 +496,9 @@ ORACLES = {
     "cooccurrence": query(LINES + cooc(), "SELECT w1, w2, n FROM cooc"),
     "cooccurrence_turns": query(
         [
-            r"lists AS MATERIALIZED (SELECT conv_id * 10000 + turn AS doc_id, regexp_extract_all(lower(text), '\p{L}+') AS words FROM conversations)",
+            r"lists AS MATERIALIZED (SELECT concat(conv_id, '-', turn) AS doc_id, regexp_extract_all(lower(text), '\p{L}+') AS words FROM conversations)",
             "toks AS MATERIALIZED (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM lists)",
-            "kept AS MATERIALIZED (SELECT term FROM toks GROUP BY term HAVING count(DISTINCT doc_id) >= 5)",
-            "lines AS MATERIALIZED (SELECT doc_id, list(term ORDER BY pos) AS words FROM toks SEMI JOIN kept USING (term) GROUP BY doc_id)",
+            "lines AS MATERIALIZED (SELECT doc_id, list(term ORDER BY pos) AS words FROM toks GROUP BY doc_id)",
         ]
         + cooc(),
         "SELECT w1, count(*) AS words, CAST(sum(n) AS BIGINT) AS n FROM cooc GROUP BY w1",

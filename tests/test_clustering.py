@@ -273,3 +273,12 @@ def test_workspace_is_removed(spark, embeddings):
     assert spark.catalog.tableExists(f"{space.work.run}_weights")
     close_workspaces()
     assert not spark.catalog.tableExists(f"{space.work.run}_weights")
+
+
+def test_separation_of_a_tree_is_that_of_its_first_split(embeddings):
+    space = km.prepare(weights.explode_dense(embeddings, "vec_id", "embedding"))
+    for criterion, metric in (("sse", "euclid"), ("i2", "cosine")):
+        tree = bisect(space, 2, criterion, seed=7)
+        plain = km.kmeans(space, 2, metric, seed=7)
+        assert tree.summary["restart"] == plain.summary["restart"]
+        assert tree.summary["separation"] == pytest.approx(plain.summary["separation"])

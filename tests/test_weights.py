@@ -150,3 +150,12 @@ def test_number_rows_is_dense_and_ordered(spark, parts):
 def test_number_rows_without_a_key(spark):
     rows = number_rows(spark.range(0, 100, 1, 5)).orderBy("line_no").collect()
     assert [(r.line_no, r.id) for r in rows] == [(i + 1, i) for i in range(100)]
+
+
+def test_number_rows_follows_files(spark, tmp_path):
+    texts = {"a.txt": ["first"], "b.txt": [f"line {i}" for i in range(2000)], "c.txt": ["last"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    rows = number_rows(spark.read.text(str(tmp_path))).orderBy("line_no").collect()
+    assert [r.value for r in rows] == [line for lines in texts.values() for line in lines]
+    assert [r.line_no for r in rows] == list(range(1, 2003))

@@ -50,13 +50,3 @@ def sparse_add(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def sparse_scale(weights: DataFrame, divisor: Column) -> DataFrame:
     """Divide every coordinate by ``divisor``."""
     return weights.withColumn("w", F.col("w") / divisor)
-
-
-def sparse_dot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Dot products of sparse vectors matched on ``keys``; pairs without overlap are absent."""
-    other = right.select(*keys, "term_id", F.col("w").alias("w_other"))
-    return (
-        left.join(other, [*keys, "term_id"])
-        .groupBy(*keys)
-        .agg(F.sum(F.col("w") * F.col("w_other")).alias("dot"))
-    )

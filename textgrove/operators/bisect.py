@@ -52,6 +52,7 @@ class Node:
     sides: list[int]  # documents per side
     side_score: list[float]
     side_e: list[float]  # similarity of each side's centre to the global centroid
+    side_d: list[float]  # squared distance of each side's centre to the global centroid
     parent: int | None = None
     children: list["Node"] | None = None  # filled when the split has been carried out
     popped: int | None = None  # position in the order of splits
@@ -237,6 +238,7 @@ class _Grower:
             sides=[row[f"n_{best}_{j}"] for j in range(K)],
             side_score=[row[f"S_{best}_{j}"] for j in range(K)],
             side_e=[row[f"E_{best}_{j}"] for j in range(K)],
+            side_d=[row[f"D_{best}_{j}"] for j in range(K)],
             parent=None if parent is None else parent.node,
         )
 
@@ -325,7 +327,7 @@ def _result(space, grower, root, leaves, done, criterion) -> Bisection:
         "iterations": root.split.iterations(ROOT, root.restart),
         "shift": moved[ROOT, root.restart],
         "score": root.score,
-        "separation": sum(root.side_e),
+        "separation": sum(root.side_d if grower.metric == "euclid" else root.side_e),
         "num_doc": space.num_doc,
         "num_term": space.num_term,
         "clusters": len(leaves),

@@ -11,8 +11,6 @@ from functools import reduce
 from operator import add
 
 CRITERIA = ("i1", "i2", "e1", "h1", "h2", "sse", "largest")
-# Criteria that compare centres with the global centroid.
-EXTERNAL = ("e1", "h1", "h2")
 
 
 def check(criterion: str) -> str:

@@ -362,8 +362,7 @@ def split_nodes(
     if max_iter is None and eps is None:
         raise ValueError("unlimited iterations need eps")
     work = space.work
-    # With eps=0 an early stop cannot change the result, so short runs skip the check.
-    watch = eps is not None and (eps > 0 or max_iter is None or max_iter > 3)
+    watch = eps is not None
     seeded = work.write(_seed_sums(space, live, k, restarts, seed), f"{label}_seeds")
     centres = before = _measure(seeded, restarts, k)
     converged: dict[tuple[int, int], int] = {}

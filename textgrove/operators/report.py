@@ -10,8 +10,8 @@ from textgrove.workspace import broadcast_if_bounded
 
 
 def _clustered(weights: DataFrame, classes: DataFrame) -> DataFrame:
-    # Class rows are one per document and weights many, so the classes are the hashed side.
-    return weights.join(classes.select("doc_id", "cluster").hint("shuffle_hash"), "doc_id")
+    # Classes come from the caller and may be of any size: the join has to be able to spill.
+    return weights.join(classes.select("doc_id", "cluster"), "doc_id")
 
 
 def cluster_sizes(classes: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def summed_vectors(weights: DataFrame, classes: DataFrame) -> DataFrame:
 def cluster_centroids(weights: DataFrame, classes: DataFrame) -> DataFrame:
     """``(cluster, term_id, w)``: summed vectors over the documents of the cluster."""
     sums = _clustered(weights, classes).groupBy("cluster", "term_id").agg(F.sum("w").alias("t"))
-    # One row per cluster.
-    sizes = F.broadcast(cluster_sizes(classes))
+    sizes = cluster_sizes(classes)
+    sizes = broadcast_if_bounded(sizes, sizes.count())
     return sums.join(sizes, "cluster").selectExpr("cluster", "term_id", "t / n AS w")
 
 

@@ -263,7 +263,7 @@ def ingested(spark, sf):
 
 
 def _document_space(spark, sf):
-    return _corpus(spark, sf, df_min=20, df_max=200).space()
+    return _corpus(spark, sf).space()
 
 
 def _embedding_space(spark, sf):
@@ -394,7 +394,7 @@ def cluster_report(spark, sf):
 
 def cluster_vectors(spark, sf):
     rows = report.summed_vectors(_weights(spark, sf), _by_lang(spark, sf))
-    return rows.select("cluster", "term_id", r6("w_sum").alias("w_sum")).where("w_sum <> 0")
+    return rows.select("cluster", "term_id", r6("w_sum").alias("w_sum"))
 
 
 def cluster_terms(spark, sf):
@@ -503,13 +503,12 @@ def cooccurrence(spark, sf):
 
 
 def cooccurrence_turns(spark, sf):
-    """Network of the conversations, words of at least five turns only; counts per first word."""
+    """Network of the words of all conversation turns; partners and counts per first word."""
     turns = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text"
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"
     )
     rows = tokens.tokenize(turns, "doc_id", "text")
-    kept = weights.band(weights.doc_freq(weights.term_freq(rows)), df_min=5).select("term")
-    cooc = network.cooccurrence(network.line_words(rows.join(kept, "term", "left_semi")))
+    cooc = network.cooccurrence(network.line_words(rows))
     return cooc.groupBy("w1").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
 
 

@@ -18,7 +18,6 @@ BROADCAST_LIMIT_CONF = "spark.textgrove.broadcastLimitBytes"
 # Rows per bucket of a bucketed table: a few hundred MB of (doc_id, term_id, w, norm) rows.
 ROWS_PER_BUCKET = 8_000_000
 MIN_ROWS_PER_BUCKET = 20_000
-MAX_BUCKETS = 100_000
 
 _open: list["Workspace"] = []
 _local_roots: dict[str, str] = {}
@@ -76,7 +75,7 @@ def bucket_count(spark: SparkSession, rows: int) -> int:
     """Buckets for a table of ``rows`` rows: enough for memory, no more than useful."""
     by_size = math.ceil(rows / ROWS_PER_BUCKET)
     by_cores = min(spark.sparkContext.defaultParallelism, math.ceil(rows / MIN_ROWS_PER_BUCKET))
-    return max(1, min(MAX_BUCKETS, max(by_size, by_cores)))
+    return max(1, by_size, by_cores)
 
 
 class Workspace:
