@@ -15,6 +15,15 @@ from pyspark.sql.types import StructField, StructType
 from textgrove.workspace import broadcast_if_bounded
 
 
+SLICE = 1000  # texts a task turns into Python objects at once
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -57,7 +66,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = setup()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             columns = [pa.array(v, type=t) for v, t in zip(score(texts), types)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + columns, names=names)

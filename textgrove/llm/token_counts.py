@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from textgrove.llm.common import fields, map_arrow, map_batches, plain_text
+from textgrove.llm.common import fields, map_arrow, map_batches, plain_text, sliced
 from textgrove.llm.pretokens import splitter
 from textgrove.workspace import Workspace
 
@@ -61,7 +61,7 @@ def pretoken_frequencies(texts: DataFrame, added: list[str]) -> DataFrame:
 
     def run(batches):
         pieces, held = Pieces(added), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 held.update(pieces.count(text or "")[0])
                 if len(held) >= FLUSH:
@@ -112,7 +112,7 @@ def _frequencies(docs: DataFrame, added: list[str], hot) -> DataFrame:
 
     def run(batches):
         pieces, known = Pieces(added), hot.value
-        for batch in batches:
+        for batch in sliced(batches, 250):
             keys, counts, rows, heads, sizes = [], [], [], [], []
             numbers = batch.column("row").to_pylist()
             for at, (row, text) in enumerate(zip(numbers, batch.column("text").to_pylist())):
@@ -167,11 +167,15 @@ def count_tokens(
     known = dict(zip(top["piece"].to_pylist(), top["tokens"].to_pylist()))
     # Row numbers come straight from the scan, where they are the same in a repeated task.
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = _frequencies(numbered, added, spark.sparkContext.broadcast(known))
+    shared = spark.sparkContext.broadcast(known)
+    parts = _frequencies(numbered, added, shared)
     joined = parts.join(counted.select("piece", "tokens"), "piece", "left")
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_bytes").alias("n_bytes"),
         F.sum(F.col("n") * F.coalesce("tokens", F.lit(1))).alias("n_tokens"),
     )
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    counts = work.write(sums.select("doc_id", "n_bytes", "n_tokens", over), "token_counts")
+    shared.destroy()  # reused workers would keep the table of every run
+    return counts
