@@ -4,11 +4,13 @@ import pytest
 
 import check_oracles
 from conftest import SMALL
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracle_queries import ORACLES
+from textgrove.queries import QUERIES
 
 # Runs of many rounds are covered by the numpy restatement; check_oracles.py runs them as well.
 SLOW = ("tree_", "bisect_", "word_clusters", "kmeans_kway", "split_")
-NAMES = [name for name in queries() if not name.startswith(SLOW)]
+NAMES = [name for name in QUERIES if not name.startswith(SLOW)]
 
 
 @pytest.fixture(scope="module")
@@ -18,12 +20,12 @@ def con():
 
 @pytest.mark.parametrize("name", [*NAMES, "bisect_h1", "split_h2"])
 def test_matches_sql(spark, con, name):
-    outcome = check_oracles.compare(spark, con, SMALL, name, oracle_sql()[name])
+    outcome = check_oracles.compare(spark, con, SMALL, name, ORACLES[name])
     assert outcome.startswith("ok"), outcome
 
 
 def test_only_full_trees_have_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"tree_documents", "tree_embeddings"}
+    assert set(QUERIES) - set(ORACLES) == {"tree_documents", "tree_embeddings"}
 
 
 def test_entry(spark):
