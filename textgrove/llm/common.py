@@ -31,11 +31,17 @@ def map_arrow(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     """``df.mapInArrow``, with this package on the workers' import path.
 
     A worker imports the package from where the driver has it, unless it was shipped another way.
+    At the end of a task it gives unused Arrow memory back, as it lives on with other tasks.
     """
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
 
 
 def crc_mod(id_col: str, parts: int) -> Column:

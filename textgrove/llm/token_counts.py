@@ -13,6 +13,7 @@ the join even: the pre-tokens that many documents share are not joined.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from textgrove.llm.common import fields, map_arrow, map_batches, plain_text, sliced
+from textgrove.llm.common import SLICE, fields, map_arrow, map_batches, plain_text, sliced
 from textgrove.llm.pretokens import splitter
 from textgrove.workspace import Workspace
 
 HOT = 200_000  # most frequent pre-tokens whose counts are sent to all tasks
-FLUSH = 200_000  # distinct pre-tokens a task holds before it hands its counts on
+FLUSH = 50_000  # distinct pre-tokens a task holds before it hands its counts on
 LIMIT = 512
 TEXT_KEY = "\x00"  # with a number: a join key no pre-token has
 
@@ -82,14 +83,18 @@ def piece_tokens(pieces: DataFrame, spec: str) -> DataFrame:
     """``piece, n, tokens``: each distinct pre-token tokenized once."""
 
     def setup():
+        # Spark runs a task per core already; threads of the library's own only take memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
         def make(batch):
-            column = batch.column("piece")
-            encoded = tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)
-            return {"piece": column, "n": batch.column("n"), "tokens": [len(e.ids) for e in encoded]}
+            column, tokens = batch.column("piece"), []
+            for start in range(0, len(column), SLICE):
+                part = column.slice(start, SLICE).to_pylist()
+                tokens += [len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            return {"piece": column, "n": batch.column("n"), "tokens": tokens}
 
         return make
 
