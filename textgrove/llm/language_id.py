@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from textgrove.llm.common import crc_mod, fields, map_texts, plain_text
+from textgrove.workspace import shuffle_tasks
 
 SAMPLE_CHARS = 120_000
 EXCERPT = 400
@@ -174,11 +175,15 @@ def training_sample(docs: DataFrame, fold: tuple[int, int], chars: int = SAMPLE_
     if not languages:
         return {}
     share = max(1, chars // languages)
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "excerpt"), "excerpt")
-    excerpts = usable.select("doc_id", "lang", F.substring("text", 1, EXCERPT).alias("excerpt"))
-    rows = excerpts.withColumn("rank", F.row_number().over(rank)).filter(
-        F.col("rank") <= min(1000, max(1, 4 * share // EXCERPT))
-    )
+    most = min(1000, max(1, 4 * share // EXCERPT))
+    order = F.xxhash64("doc_id", "excerpt"), "excerpt"
+    rows = usable.select("doc_id", "lang", F.substring("text", 1, EXCERPT).alias("excerpt"))
+    # first within salted parts of a language, so that the last rank sees a bounded number of rows
+    salt = F.pmod(F.xxhash64("excerpt", "doc_id"), F.lit(shuffle_tasks(docs.sparkSession)))
+    rows = rows.withColumn("salt", salt)
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= most)
     sample: dict[str, list[str]] = {}
     held: dict[str, int] = {}
     for row in rows.orderBy("lang", "rank").select("lang", "excerpt").toLocalIterator():
