@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textgrove.operators.criteria import check, gain, metric_of, unsplit_score
 from textgrove.operators.kmeans import (
+    COUNT,
     ROOT,
     Space,
     Split,
@@ -65,6 +66,8 @@ class Bisection:
     tree: DataFrame  # one row per node
     space: Space
     summary: dict = field(default_factory=dict)
+    centres: DataFrame | None = None  # (k, term_id, w) of the first split
+    scores: DataFrame | None = None  # (k, score, n) of the first split
 
 
 def bisect(
@@ -333,4 +336,23 @@ def _result(space, grower, root, leaves, done, criterion) -> Bisection:
         "clusters": len(leaves),
         "rounds": grower.round,
     }
-    return Bisection(classes, report, tree, space, summary)
+    centres, scores = _first_split(root)
+    return Bisection(classes, report, tree, space, summary, centres, scores)
+
+
+def _first_split(root: Node) -> tuple[DataFrame, DataFrame]:
+    """``(k, term_id, w)``: centres of the first split; ``(k, score, n)``: its evaluated sides."""
+    spark = root.split.assigned.sparkSession
+    sums = root.split.centres.sums.where(f"node = {ROOT} AND term_id <> {COUNT}")
+    sizes = [max(1.0, root.split.centres.n[ROOT, root.restart, j]) for j in range(K)]
+    sides = ", ".join(f"{j}, x_{root.restart}_{j} / {sizes[j]!r}D" for j in range(K))
+    centres = sums.selectExpr("term_id", f"stack({K}, {sides}) AS (k, w)").where("w <> 0")
+    scores = local_table(
+        spark,
+        {
+            "k": pa.array(range(K), pa.int32()),
+            "score": pa.array(root.side_score, pa.float64()),
+            "n": pa.array(root.sides, pa.int64()),
+        },
+    )
+    return centres.select("k", "term_id", "w"), scores

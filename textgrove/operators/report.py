@@ -66,13 +66,18 @@ def cluster_cohesion(weights: DataFrame, classes: DataFrame) -> DataFrame:
 def cluster_terms(
     weights: DataFrame, classes: DataFrame, vocab: DataFrame | None = None, n: int = 100
 ) -> DataFrame:
-    """The ``n`` heaviest terms of each cluster: ``(cluster, rank, term_id, w_sum[, term])``.
+    """The ``n`` heaviest terms of each cluster: ``(cluster, rank, term_id, w_sum[, term])``."""
+    return top_terms(summed_vectors(weights, classes), vocab, n)
+
+
+def top_terms(sums: DataFrame, vocab: DataFrame | None = None, n: int = 100) -> DataFrame:
+    """``cluster_terms`` from summed vectors ``(cluster, term_id, w_sum)``.
 
     Sums equal to nine decimals tie, and ties go to the smaller term id, so that the order of
     float additions cannot change the ranking. The limit is applied before the exchange as well.
     """
     rank = "row_number() OVER (PARTITION BY cluster ORDER BY round(w_sum, 9) DESC, term_id) AS rank"
-    top = summed_vectors(weights, classes).selectExpr("*", rank).where(f"rank <= {n}")
+    top = sums.selectExpr("*", rank).where(f"rank <= {n}")
     top = top.select("cluster", "rank", "term_id", "w_sum")
     if vocab is None:
         return top

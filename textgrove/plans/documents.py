@@ -80,8 +80,17 @@ def cluster_documents(
         "samples": reports.cluster_samples(tree.classes, texts, top, clusters),
     }
     if path is not None:
-        sinks.write_summary(texts.sparkSession, tree.summary, f"{path}/summary", found.vocab)
-        members = tree.classes.select("doc_id", "cluster")
+        sinks.write_summary(
+            texts.sparkSession,
+            tree.summary,
+            f"{path}/summary",
+            found.vocab,
+            tree.centres,
+            tree.scores,
+            space.centre,
+            sinks.weight_inputs(found.tf, found.vocab),
+        )
+        members = reports.member_vectors(space.weights, tree.classes)
         sinks.write_report(tree.report, tables["cluster_terms"], members, f"{path}/clusters")
         sinks.write_classes(tree.classes, f"{path}/class")
         sinks.write_by_cluster(tables["top_terms"], f"{path}/top_terms")

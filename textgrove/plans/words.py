@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from textgrove.operators import report as reports
 from textgrove.operators.bisect import Bisection, bisect
 from textgrove.operators.kmeans import Space, prepare
 from textgrove.operators.network import WINDOW, cooccurrence, word_vocabulary, word_weights
@@ -35,7 +36,19 @@ def cluster_words(
     network = word_space(lines, window)
     tree = bisect(network.space, **options)
     if path is not None:
-        sinks.write_summary(lines.sparkSession, tree.summary, f"{path}/summary", network.vocab)
+        space = network.space
+        sinks.write_summary(
+            lines.sparkSession,
+            tree.summary,
+            f"{path}/summary",
+            network.vocab,
+            tree.centres,
+            tree.scores,
+            space.centre,
+        )
+        sums = reports.summed_vectors(space.weights, tree.classes)
+        members = reports.member_vectors(space.weights, tree.classes)
+        sinks.write_report(tree.report, sums, members, f"{path}/clusters")
         sinks.write_cooccurrence(network.cooc, f"{path}/cooccurrence")
         sinks.write_classes(tree.classes, f"{path}/class")
     return tree, network

@@ -48,10 +48,18 @@ def write_summary(
     vocab: DataFrame | None = None,
     centres: DataFrame | None = None,
     cluster_score: DataFrame | None = None,
+    global_centre: DataFrame | None = None,
+    raw_weights: DataFrame | None = None,
 ) -> None:
-    """``run`` (one row) and, where given, ``vocabulary``, ``centres`` and ``cluster_score``."""
+    """``run`` (one row) and, where given, the tables named like the arguments (``vocabulary``: vocab)."""
     summary_table(spark, summary).write.parquet(f"{path}/run")
-    tables = {"vocabulary": vocab, "centres": centres, "cluster_score": cluster_score}
+    tables = {
+        "vocabulary": vocab,
+        "centres": centres,
+        "cluster_score": cluster_score,
+        "global_centre": global_centre,
+        "raw_weights": raw_weights,
+    }
     for name, table in tables.items():
         if table is not None:
             table.write.parquet(f"{path}/{name}")
