@@ -248,6 +248,16 @@ def test_learned_scores(spark, edge, empty, clashing, labels, operator, value, f
     assert operator(empty, labels).count() == 0
 
 
+def test_toxicity_joins_what_it_may_not_send(spark, edge):
+    small, known = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    docs = small.unionByName(edge.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    sent, joined = (
+        {(r.doc_id, r.held_out, r.predicted, round(r.score, 9)) for r in toxicity.toxicity(docs, known, max_grams=n).collect()}
+        for n in (toxicity.MAX_GRAMS, 10)
+    )
+    assert sent == joined
+
+
 def test_toxic_documents_go(spark, clashing, labels):
     kept = toxicity.drop_toxic(clashing, labels)
     assert kept.columns == clashing.columns

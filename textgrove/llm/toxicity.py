@@ -8,10 +8,11 @@ expression thus gets nearly the same probability from either class. An expressio
 the difference of its two log-likelihoods; a document by that difference per word, and by how
 many of its expressions, in all and per word, the toxic class makes much likelier.
 
-Counting and smoothing are joins over n-gram tables. The tasks that score get the ``MAX_GRAMS``
-grams on which the classes differ most; grams that tell nothing, seen or not, add nothing. The last
-step, a logistic calibration of the nine numbers in ``FEATURES``, is fitted on at most ``CALIBRATION``
-training rows, which gave no counts.
+Counting and smoothing are joins over n-gram tables. All grams score. A table of at most ``MAX_GRAMS``
+is sent to the tasks that score. A larger one is joined to the grams of the corpus's distinct words,
+and the scores of the words to the documents; both ways give the same features. Unseen grams add
+nothing. The last step, a logistic calibration of the nine numbers in ``FEATURES``, is fitted on at most
+``CALIBRATION`` training rows, which gave no counts.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from textgrove.llm.common import crc_mod, fields, map_texts, plain_text, with_labels
 from textgrove.llm.logistic import fit_logistic
@@ -32,7 +35,7 @@ from textgrove.workspace import Workspace
 ORDER = 6
 DISCOUNT = 0.75
 SHARED = 20.0
-MAX_GRAMS = 300_000
+MAX_GRAMS = 1_000_000  # about 170 MB in a task
 CALIBRATION = 20_000
 TOP = 3
 LEVELS = (2.0, 3.5)  # log-likelihood differences from which an expression counts as strong
@@ -43,9 +46,17 @@ FEATURES = (
 )
 BORDER = "_"
 WORD = "[\\p{L}\\p{M}]+"
+SCORED_WORDS = re.compile(r"[^\W\d_]+").findall
 MEMO = 100_000
 
 
+def _cut(word: str = "word") -> Column:
+    """The n-grams of a column of words, an array."""
+    padded = F.concat(F.lit(BORDER * (ORDER - 1)), word, F.lit(BORDER))
+    starts = F.sequence(F.lit(1), F.length(word) + 1)
+    return F.transform(starts, lambda i: F.substring(padded, i, F.lit(ORDER)))
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``gram, toxic, ordinary``: occurrences of each n-gram over ``texts(text, label)``."""
     words = texts.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
@@ -53,13 +64,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") > 0, 0).otherwise(1)).alias("ordinary"),
     )
-    padded = F.concat(F.lit(BORDER * (ORDER - 1)), "word", F.lit(BORDER))
-    starts = F.sequence(F.lit(1), F.length("padded") - (ORDER - 1))
-    grams = words.withColumn("padded", padded).select(
-        F.explode(F.transform(starts, lambda i: F.substring("padded", i, F.lit(ORDER)))).alias("gram"),
-        "toxic",
-        "ordinary",
-    )
+    grams = words.select(F.explode(_cut()).alias("gram"), "toxic", "ordinary")
     return grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -114,7 +119,6 @@ class Expressions:
 
     def __init__(self, scores: dict[str, float]):
         self.scores, self.memo = scores, {}
-        self.words = re.compile(r"[^\W\d_]+").findall
 
     def word(self, word: str) -> float:
         """Log-likelihood of the toxic class minus that of the ordinary class."""
@@ -123,7 +127,7 @@ class Expressions:
 
     def document(self, text: str) -> list[float]:
         """What ``FEATURES`` names, all 0 without words."""
-        words, memo = self.words(text.lower()), self.memo
+        words, memo = SCORED_WORDS(text.lower()), self.memo
         if len(memo) > MEMO:
             memo.clear()
         values = []
@@ -148,9 +152,16 @@ class Expressions:
         ]
 
 
-def document_features(rows: DataFrame, scores: dict[str, float]) -> DataFrame:
-    """``rows`` with the ``FEATURES`` of each document as ``features`` instead of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(scores)
+def document_features(rows: DataFrame, scores: DataFrame, work: Workspace, max_grams: int) -> DataFrame:
+    """``rows`` with the ``FEATURES`` of each document as ``features`` instead of the text.
+
+    ``scores(gram, score)`` is a stored table; above ``max_grams`` rows it is joined, not sent.
+    """
+    if scores.count() > max_grams:
+        return _joined_features(rows, scores, work)
+    table = scores.toArrow()
+    table = dict(zip(table["gram"].to_pylist(), table["score"].to_pylist()))
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def setup():
         model = Expressions(shared.value)
@@ -159,6 +170,58 @@ def document_features(rows: DataFrame, scores: dict[str, float]) -> DataFrame:
     return map_texts(rows, fields(features=ArrayType(DoubleType(), False)), setup)
 
 
+def _joined_features(rows: DataFrame, scores: DataFrame, work: Workspace) -> DataFrame:
+    """The same by joins: a word is scored once, however many documents have it.
+
+    Frequent words are many rows of one key in the last join only, which reads stored tables, so
+    that Spark can split it; what is gathered per document is its own distinct words.
+    """
+    counted = ArrayType(StructType().add("word", StringType()).add("n", LongType()), False)
+
+    def setup():
+        def make(texts):
+            found = (Counter(SCORED_WORDS(t.lower())) for t in texts)
+            return [[[{"word": w, "n": n} for w, n in words.items()] for words in found]]
+
+        return make
+
+    kept = [c for c in rows.columns if c != "text"]
+    held = map_texts(rows.withColumn("at", F.monotonically_increasing_id()), fields(counted=counted), setup)
+    held = work.write(held, f"held_{uuid.uuid4().hex[:8]}")
+    uses = held.select("at", F.explode("counted").alias("use")).select("at", "use.word", "use.n")
+    grams = uses.select("word").distinct().select("word", F.explode(_cut()).alias("gram"))
+    values = grams.join(scores, "gram").groupBy("word").agg(F.sum("score").alias("value"))
+    values = work.write(values, f"word_values_{uuid.uuid4().hex[:8]}")
+    value, n = F.coalesce("value", F.lit(0.0)), F.col("n")
+    uses = uses.join(values, "word", "left").select("at", "word", "n", value.alias("value"))
+    above = [F.sum(F.when(F.col("value") > level, n).otherwise(0)) for level in LEVELS]
+    clipped = F.when(F.col("value") > LEVELS[0], n * F.least("value", F.lit(CLIP))).otherwise(0.0)
+    entry = F.struct("value", "word", F.least(n, F.lit(TOP)).cast("int").alias("n"))
+    sums = uses.groupBy("at").agg(
+        F.sum(n * F.col("value")).alias("total"),
+        F.sum("n").alias("n"),
+        F.sum(clipped).alias("clipped"),
+        F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, TOP).alias("top"),
+        *[x.alias(f"above_{i}") for i, x in enumerate(above)],
+    )
+    repeated = F.flatten(F.transform("top", lambda t: F.array_repeat(t, t["n"])))
+    sums = sums.withColumn("top", F.slice(repeated, 1, TOP))
+    n = F.col("n")
+    strong = [F.col(f"above_{i}") for i in range(len(LEVELS))]
+    features = F.array(
+        F.col("total") / n,
+        F.col("top")[0]["value"],
+        F.aggregate("top", F.lit(0.0), lambda a, t: a + t["value"]) / TOP,
+        F.array_max(F.transform("top", lambda t: t["value"] / (F.length(t["word"]) + 1))),
+        F.col("clipped") / n,
+        *[F.log1p(k.cast("double")) for k in strong],
+        *[F.log((k + 0.1) / (n + 10)) for k in strong],
+    )
+    none = F.array(*[F.lit(0.0)] * len(FEATURES))
+    sums = sums.select("at", features.alias("features"))
+    return held.join(sums, "at", "left").select(*kept, F.coalesce("features", none).alias("features"))
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -166,6 +229,7 @@ def toxicity(
     text_col: str = "text",
     fold: tuple[int, int] = (5, 0),
     threshold: float = 0.5,
+    max_grams: int = MAX_GRAMS,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per row of ``docs``.
 
@@ -181,13 +245,12 @@ def toxicity(
     known = with_labels(rows, labels, "toxic").filter(F.col("part") != held_out)
     calibrating = (held_out + 1) % parts
     counts = work.write(gram_counts(known.filter(F.col("part") != calibrating)), "counts")
-    scored = gram_scores(counts, work)
-    telling = scored.orderBy(F.desc(F.abs("score")), "gram").limit(MAX_GRAMS).toArrow()
-    scores = dict(zip(telling["gram"].to_pylist(), telling["score"].to_pylist()))
-    chosen = known.filter(F.col("part") == calibrating).orderBy(F.xxhash64("text"), "text").limit(CALIBRATION)
-    chosen = document_features(chosen.select("text", "label"), scores).toArrow()
+    scores = work.write(gram_scores(counts, work), "scores")
+    chosen = known.filter(F.col("part") == calibrating).select("text", "label")
+    chosen = document_features(chosen, scores, work, max_grams)
+    chosen = chosen.orderBy(F.xxhash64("features"), "features").limit(CALIBRATION).toArrow()
     weights = _calibrate(chosen)
-    found = document_features(rows, scores)
+    found = document_features(rows, scores, work, max_grams)
     if weights is None:
         score = F.lit(0.0)
     else:
