@@ -6,8 +6,8 @@ character that fits nowhere is a phrase of its own. The language that needs the
 character wins. Texts are lower-cased, runs of non-letters become one blank.
 
 All automata lie in one dense transition table. The table is bounded by the training sample: at most
-``SAMPLE_CHARS`` characters over all languages, in excerpts of at most ``EXCERPT`` characters from the
-training documents with the smallest hashed ids. Documents are parsed whole, in segments of
+``SAMPLE_CHARS`` characters over all languages, in excerpts of at most ``EXCERPT`` characters, from anywhere
+in the training documents with the smallest hashed ids. Documents are parsed whole, in segments of
 ``SEGMENT`` characters so that many segments advance together; a cut adds at most one phrase to each.
 """
 
@@ -177,7 +177,10 @@ def training_sample(docs: DataFrame, fold: tuple[int, int], chars: int = SAMPLE_
     share = max(1, chars // languages)
     most = min(1000, max(1, 4 * share // EXCERPT))
     order = F.xxhash64("doc_id", "excerpt"), "excerpt"
-    rows = usable.select("doc_id", "lang", F.substring("text", 1, EXCERPT).alias("excerpt"))
+    # where an excerpt starts depends on a hash of the text, so that not only beginnings are learned
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - (EXCERPT - 1), F.lit(1))).cast("int") + 1
+    excerpt = F.substring("text", start, F.lit(EXCERPT))
+    rows = usable.select("doc_id", "lang", excerpt.alias("excerpt"))
     # first within salted parts of a language, so that the last rank sees a bounded number of rows
     salt = F.pmod(F.xxhash64("excerpt", "doc_id"), F.lit(shuffle_tasks(docs.sparkSession)))
     rows = rows.withColumn("salt", salt)
