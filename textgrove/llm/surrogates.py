@@ -41,23 +41,40 @@ SYLLABLES = {
     "cyrillic": "ба бо ва ве га да де за ка ко ла ле ма ми на но па по ра ро са со та то",
 }
 _TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
+_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+_ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+_SECRET = (
+    r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+    r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{6,}"
+)
+_ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
+_SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+# What a number that may go on after a blank must not run into.
+_FORMED = rf"{_ADDRESS}|{_SSN}|(?<![\w.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!\w)"
+_CARD = rf"(?<![\w.-])\d(?:[ -]?\d){{12}}(?:[ -]?(?!{_FORMED}|(?<![\w.-])\d(?:[ -]?\d){{12,18}}(?!\w))\d){{0,6}}(?!\w)"
+_NEXT = rf"{_FORMED}|{_CARD}"
+_FORMED_CODE = rf"{_FORMED}|{_ACCESS_KEY}|\b[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3}}"
+_NEXT_WORD = rf"{_TITLE}\.? \p{{Lu}}|{_EMAIL}|{_SECRET}"
+_DIALLED = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})"
 # The pattern of each type, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-    r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{6,}",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}"
+    "email": _EMAIL,
+    "access_key": _ACCESS_KEY,
+    "secret": _SECRET,
+    # the second form is for numbers whose own groups look like something else
+    "phone": rf"(?<![\w.])(?:{_DIALLED}(?:[ .-]?(?!{_FORMED})\d{{2,4}}){{2}}(?:[ .-]?(?!{_NEXT})\d{{2,4}}){{0,2}}(?!\w)"
+    rf"|{_DIALLED}(?:[ .-]?\d{{2,4}}){{2,4}}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "address": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}}",
+    "ssn": _SSN,
+    "card": _CARD,
+    "address": _ADDRESS,
+    "iban": rf"\b[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3}}(?: ?(?!{_FORMED_CODE})[A-Z0-9]{{4}}){{0,2}}"
+    rf"(?: ?(?!{_FORMED_CODE}|{_CARD})[A-Z0-9]{{4}}){{0,2}}(?: ?(?!{_FORMED_CODE})[A-Z0-9]{{1,3}})?\b",
+    "name": rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?: (?!{_NEXT_WORD})\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity contains one of these; a scan for them is much cheaper than the whole pattern.
-HINT = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|ASIA|{_TITLE}\.? \p{{Lu}}"
 
 
 def _kind(surface: Column) -> Column:
