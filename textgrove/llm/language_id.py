@@ -5,7 +5,8 @@ each automaton into phrases, each the longest match that occurs in the language'
 character that fits nowhere is a phrase of its own. The language that needs the fewest phrases per
 character wins. Texts are lower-cased, runs of non-letters become one blank.
 
-All automata lie in one dense transition table. The table is bounded by the training sample: at most
+All automata lie in one transition table: a dense row per state for the ``LETTERS`` most frequent letters, and sorted
+(state, letter) keys for the transitions by all others. Every letter of the sample counts. The table is bounded by the training sample: at most
 ``SAMPLE_CHARS`` characters over all languages, in excerpts of at most ``EXCERPT`` characters, from anywhere
 in the training documents with the smallest hashed ids. Documents are parsed whole, in segments of
 ``SEGMENT`` characters so that many segments advance together; a cut adds at most one phrase to each.
@@ -23,7 +24,7 @@ from textgrove.workspace import shuffle_tasks
 
 SAMPLE_CHARS = 120_000
 EXCERPT = 400
-LETTERS = 62  # most frequent letters of the sample; others match nowhere
+LETTERS = 62  # letters with a place in the dense rows; the transitions by others are looked up
 SEGMENT = 1024
 BATCH_CHARS = 4_000_000
 SHARPNESS = 60.0  # phrases per character to log odds, for the score
@@ -31,8 +32,9 @@ BLANK, OTHER = 0, 1
 UNDETERMINED = "und"
 
 
-def suffix_automaton(ids: list[int], width: int) -> np.ndarray:
-    """Transitions (states, width), -1 where there is none; state 0 is the start."""
+def suffix_automaton(ids: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions (states, width), -1 where there is none, and those by ids from ``width`` on as rows
+    (state, id, next); state 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, size = [-1], [0]
     last = 0
@@ -60,9 +62,14 @@ def suffix_automaton(ids: list[int], width: int) -> np.ndarray:
                 link[q] = link[new] = copy
         last = new
     table = np.full((len(step), width), -1, np.int32)
+    rare = []
     for state, following in enumerate(step):
-        table[state, list(following)] = list(following.values())
-    return table
+        for c, after in following.items():
+            if c < width:
+                table[state, c] = after
+            else:
+                rare.append((state, c, after))
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class CrossParser:
@@ -79,13 +86,15 @@ class CrossParser:
             np.array([c for text in joined.values() for c in text if c != " "], dtype="U1"),
             return_counts=True,
         )
-        common = chars[np.lexsort((chars, -counts))][:LETTERS]
-        self.letter = {str(c): i + 2 for i, c in enumerate(common)}
-        self.width = len(self.letter) + 2
-        tables, roots, start = [], [], 0
+        ordered = chars[np.lexsort((chars, -counts))]
+        self.letter = {str(c): i + 2 for i, c in enumerate(ordered)}
+        self.kinds = len(self.letter) + 2
+        self.width = min(self.kinds, LETTERS + 2)
+        tables, roots, start, looked_up = [], [], 0, []
         for name in self.languages:
-            ids = [BLANK if c == " " else self.letter.get(c, OTHER) for c in joined[name]]
-            table = suffix_automaton([i for i in ids if i != OTHER], self.width)
+            ids = [BLANK if c == " " else self.letter[c] for c in joined[name]]
+            table, rare = suffix_automaton(ids, self.width)
+            looked_up.append(np.column_stack([(rare[:, 0] + start) * self.kinds + rare[:, 1], rare[:, 2] + start]))
             lone = len(table)  # the state of a phrase that is one unmatched character
             first = np.where(table[0] < 0, lone, table[0]) + start
             table = np.where(table < 0, ~first[None, :], table + start)
@@ -95,13 +104,16 @@ class CrossParser:
             start += lone + 1
         self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
         self.roots = np.array(roots, np.int32)
+        rare = np.concatenate(looked_up) if looked_up else np.empty((0, 2), np.int64)
+        rare = rare[np.argsort(rare[:, 0])]
+        self.keys, self.nexts = rare[:, 0].copy(), rare[:, 1].astype(np.int32)
 
     def prepare(self) -> None:
         """Code point to class, made once in each worker."""
         if hasattr(self, "codes"):
             return
         points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-        codes = np.full(0x110000, BLANK, np.uint8)
+        codes = np.full(0x110000, BLANK, np.int32)
         letters = np.array([ord(c) for c in points if c.isalpha()])
         codes[letters] = OTHER
         for c, i in self.letter.items():
@@ -138,7 +150,7 @@ class CrossParser:
         sizes = np.array([len(s) for s in segments])
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
-        grid = np.zeros((sizes[0], len(order)), np.uint8)
+        grid = np.zeros((sizes[0], len(order)), np.int32)
         for column, i in enumerate(order):
             grid[: len(segments[i]), column] = segments[i]
         # at step j the segments longer than j are a prefix
@@ -148,8 +160,12 @@ class CrossParser:
         for j in range(int(sizes[0])):
             n = int(active[j])
             place = state[:, :n] * np.int32(self.width)
-            place += grid[j, :n]
+            row = grid[j, :n]
+            rare = np.flatnonzero(row >= self.width)
+            place += np.where(row < self.width, row, OTHER)
             after = self.table.take(place)
+            if len(rare):
+                after[:, rare] = self._look_up(state[:, rare], row[rare], after[:, rare])
             fails = after < 0
             ended[:, :n] += fails
             np.copyto(state[:, :n], np.where(fails, ~after, after))
@@ -157,6 +173,19 @@ class CrossParser:
         np.add.at(counts, np.array(owners)[order], ended.T + 1)
 
 
+    def _look_up(self, state: np.ndarray, letters: np.ndarray, unmatched: np.ndarray) -> np.ndarray:
+        """Entries for letters without a place in the dense rows; ``unmatched`` where a language lacks one."""
+
+        def find(states):
+            wanted = states.astype(np.int64) * self.kinds + letters
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            return self.keys[at] == wanted, self.nexts[at]
+
+        on, after = find(state)
+        starts, first = find(self.roots[:, None])
+        return np.where(on, after, np.where(starts, ~first, unmatched))
+
+
 def _plain(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
