@@ -32,7 +32,8 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def clashing(edge):
     """Columns named like those the operators use inside."""
-    names = ("label", "fp", "row", "piece", "host", "rank", "held_out", "score", "words", "ref", "part", "n", "digest")
+    names = ("label", "fp", "row", "piece", "host", "rank", "held_out", "score", "words", "ref", "part", "n", "digest",
+             "low", "row", "features", "__digest", "__text", "__n_entities", "longer", "new")
     for name in names:
         edge = edge.withColumn(name, edge["source"])
     return edge

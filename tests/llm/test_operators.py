@@ -84,6 +84,14 @@ def test_simhash_edges(edge, empty, clashing):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
 
 
+def test_near_dedup_keeps_rows(spark):
+    a, b = "one two three four five six seven", "other words that have nothing to do with it"
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, "no id but words"), (7, None), (8, " ")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = [(3, a), (5, b), (None, "no id but words"), (7, None)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_bit_slices():
     draw = np.random.default_rng(3)
     fps = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
@@ -101,7 +109,8 @@ def test_bit_slices():
         assert set(zip(left.tolist(), right.tolist())) == plain
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr("textgrove.llm.components.HUB", 8)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     found = components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark))
     rows = dict(map(tuple, found.collect()))
@@ -258,9 +267,62 @@ def test_toxicity_joins_what_it_may_not_send(spark, edge):
     assert sent == joined
 
 
-def test_toxic_documents_go(spark, clashing, labels):
+def test_toxic_rows_go(spark, clashing, labels):
     kept = toxicity.drop_toxic(clashing, labels)
     assert kept.columns == clashing.columns
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    docs, known = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs, known)
+    bad = scored.filter("predicted = 1").first().doc_id
+    text = docs.filter(F.col("doc_id") == bad).first().text
+    clean = docs.join(scored.filter("predicted = 0"), "doc_id").first().text
+    more = spark.createDataFrame([(-1, text), (-1, clean), (None, text), (None, clean)], "doc_id long, text string")
+    kept = toxicity.drop_toxic(docs.unionByName(more, allowMissingColumns=True), known)
+    left = kept.filter("doc_id IS NULL OR doc_id = -1").collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(-1, clean), (None, clean)])
+
+
+def plain_difference(words):
+    """Kneser-Ney with a shared backoff, from its formulas: word -> difference of log-likelihoods."""
+    n = toxicity.ORDER
+    grams = lambda w: [("_" * (n - 1) + w + "_")[i : i + n] for i in range(len(w) + 1)]
+    counts = {c: Counter(g for w, label in words if (label > 0) == c for g in grams(w)) for c in (True, False)}
+    seen = {n: Counter({g: counts[True][g] + counts[False][g] for g in counts[True] | counts[False]})}
+    for k in range(n - 1, 0, -1):  # below the highest order: by how many letters a gram is preceded
+        seen[k] = Counter(g[1:] for g in seen[k + 1])
+    d, letters = toxicity.DISCOUNT, len(seen[1])
+
+    def shared(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (letters + 1)
+        after = [v for g, v in seen[k].items() if g[:-1] == gram[:-1]]
+        return (max(seen[k][gram] - d, 0) + d * len(after) * shared(gram[1:])) / sum(after) if after else shared(gram[1:])
+
+    def log_p(gram, c):
+        after = [v for g, v in counts[c].items() if g[:-1] == gram[:-1]]
+        freed = d * len(after) + toxicity.SHARED
+        return math.log((max(counts[c][gram] - d, 0) + freed * shared(gram)) / (sum(after) + toxicity.SHARED))
+
+    return lambda word: sum(log_p(g, True) - log_p(g, False) for g in grams(word))
+
+
+def test_toxicity_is_kneser_ney(spark):
+    rows = [("schlimm schlimmer böse bo\u0308se", 1), ("schlau schlicht böig und gut", 0), ("gut gute güte देवनागरी", 0), ("schlimm देव", 1)]
+    words = [(w, label) for text, label in rows for w in text.split()]
+    plain = plain_difference(words)
+    work = Workspace(spark)
+    counts = work.write(toxicity.gram_counts(spark.createDataFrame(rows, "text string, label int")), "counts")
+    scores = work.write(toxicity.gram_scores(counts, work), "scores")
+    model = toxicity.Expressions({r.gram: r.score for r in scores.collect()})
+    for word in ["schlimm", "schlimmste", "schlau", "schlund", "gut", "unbekannt", "bo\u0308se", "देवता", "x"]:
+        assert model.word(word) == pytest.approx(plain(word), abs=1e-9), word
+    assert toxicity.SCORED_WORDS("bo\u0308se देवनागरी a1b²") == ["bo\u0308se", "देवनागरी", "a", "b"]
+    docs = spark.createDataFrame([("schlimmste bo\u0308sen देवता",), ("",)], "text string")
+    sent, joined = (
+        [[round(x, 9) for x in r.features] for r in toxicity.document_features(docs, scores, work, n).collect()] for n in (10**6, 1)
+    )
+    assert sorted(sent) == sorted(joined) and any(any(f) for f in sent)
 
 
 # --- 6 token counts ------------------------------------------------------------------------------
@@ -327,6 +389,30 @@ def test_surrogates(spark, edge, empty, clashing):
     assert surrogates.replaced(empty, "k").count() == 0
 
 
+def test_surrogates_tell_cards_and_genders(spark):
+    rows = [(1, "order 4111 1111 1111 1112 of 1234567890123"), (2, "Mrs Kim Lee and Mr Kim Lee met Mr. Kim Lee")]
+    first, second = surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert (first.text, first.n_entities) == (rows[0][1], 0)
+    found = re.fullmatch(r"Mrs ((\w+) \w+) and Mr ((\w+) \w+) met Mr\. ((\w+) \w+)", second.text)
+    assert found[2] in surrogates.GIVEN["female", "latin"] and found[4] in surrogates.GIVEN["male", "latin"]
+    assert found[3] == found[5] != found[1]
+
+
+def test_every_address_of_one_form(spark):
+    rows = [(i, ".".join(f"{i:04}")) for i in range(10_000)]
+    new = surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").select("text")
+    new = [r.text for r in new.collect()]
+    assert len(set(new)) == 10_000 and not set(new) & {t for _, t in rows}
+    assert all(re.fullmatch(surrogates.PATTERNS["address"], t) for t in new)
+
+
+def test_short_addresses_stay_addresses(spark):
+    rows = [(i, f"{a}@{b}.co") for i, (a, b) in enumerate((x, y) for x in "abcdefghijklmnopqrst" for y in "abcdefghijklmnopqrstuvwxyz")]
+    new = [r.text for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(new)) == len(rows) and not set(new) & {t for _, t in rows}
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", t) for t in new)
+
+
 def test_surrogates_differ_where_the_form_is_small(spark):
     rows = [(i, f"{i // 81 + 1}.{i // 9 % 9 + 1}.{i % 9 + 1}.7") for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

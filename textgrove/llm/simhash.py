@@ -10,6 +10,7 @@ Buckets give one edge per linked fingerprint, and components are found over thos
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -117,6 +118,16 @@ def links(distinct: DataFrame, radius: int, max_bucket: int, work: Workspace) ->
     return work.write(found.distinct(), "links")
 
 
+def _classes(prints: DataFrame, radius: int, max_bucket: int, work: Workspace) -> DataFrame:
+    """``fp, root`` for every fingerprint of ``prints(fp)``, written: root names its group."""
+    if radius not in (0, 1, 2):
+        raise ValueError("radius must be 0, 1 or 2")
+    distinct = work.write(prints.select("fp").distinct(), "distinct")
+    linked = components(links(distinct, radius, max_bucket, work), work)
+    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    return work.write(rooted.select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -132,17 +143,12 @@ def simhash_groups(
     part in linking, but its group is named by the smallest id present (null if there is none).
     An empty table gives no rows; other columns are ignored.
     """
-    if radius not in (0, 1, 2):
-        raise ValueError("radius must be 0, 1 or 2")
     work = Workspace(docs.sparkSession)
     prints = work.write(fingerprints(docs, id_col, text_col), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    distinct = work.write(least, "distinct")
-    linked = components(links(distinct.select("fp"), radius, max_bucket, work), work)
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = work.write(rooted, "rooted")
-    names = work.write(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "names")
+    rooted = _classes(prints, radius, max_bucket, work)
+    least = work.write(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
+    least = work.write(rooted.join(least, "fp"), "named")
+    names = work.write(least.groupBy("root").agg(F.min("low").alias("component_id")), "names")
     classes = work.write(rooted.join(names, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(
         "doc_id",
@@ -151,14 +157,36 @@ def simhash_groups(
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, its smallest id, columns as they were.
+def near_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = RADIUS,
+    max_bucket: int = MAX_BUCKET,
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, columns as they were.
 
-    Rows with the same id count as one document: one of them stays. Rows without an id pass.
+    Groups are those of ``simhash_groups``, but of rows: the row with the smallest id stays, of several
+    with that id the one whose text has the smallest SHA-256, of equal rows one. A group whose rows have
+    no id keeps one of them by the same order. Null, empty and wordless texts are one group. An
+    empty table stays empty.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "__kept_id")
-    named = docs.filter(F.col(id_col).isNotNull())
-    chosen = named.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.filter(F.col(id_col).isNull()))
+    work = Workspace(docs.sparkSession)
+    digest = F.sha2(plain_text(text_col), 256)
+    mark, low = (f"{name}_{uuid.uuid4().hex}" for name in ("digest", "low"))  # clash with no column
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), plain_text(text_col).alias("text"))
+
+    def setup():
+        return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+
+    prints = work.write(map_texts(rows, fields(fp=LongType()), setup), "fingerprints")
+    rooted = _classes(prints, radius, max_bucket, work)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "n")
+    least = prints.groupBy("fp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    least = work.write(least.groupBy("fp").agg(F.min(order).alias(low)), "least")
+    least = work.write(rooted.join(least, "fp").groupBy("root").agg(F.min(low).alias(low)), "kept")
+    same = F.col(id_col).eqNullSafe(F.col(f"{low}.doc_id")) & (F.col(mark) == F.col(f"{low}.digest"))
+    kept = docs.withColumn(mark, digest).join(least.select(low), same)
+    once = kept.filter(F.col(f"{low}.n") == 1).select(*docs.columns)
+    repeated = kept.filter(F.col(f"{low}.n") > 1).dropDuplicates([id_col, mark]).select(*docs.columns)
+    return once.unionByName(repeated)

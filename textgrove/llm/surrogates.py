@@ -2,12 +2,14 @@
 
 1. Entities are found by one pattern with an alternative per type.
 2. What identifies an entity is its type and its canonical form (letters and digits without case and
-   punctuation), so that differently written mentions share one surrogate.
+   punctuation, names with the gender of their title), so that differently written mentions share one
+   surrogate. A number is a card only if its check sum holds.
 3. The surrogate of a canonical form is derived from a keyed hash: digits stay digits, letters letters;
    card numbers keep their first digit and check sum, addresses stay valid, e-mail addresses
    keep the last label, phone numbers the country code, names get a name of the same gender and script.
 4. Collision check over all entities of the corpus: surrogates shared by two entities, or equal
-   to an entity, are drawn anew until all differ.
+   to an entity, are drawn anew until all differ; addresses and e-mail addresses whose form has few values
+   take a wider form then, valid still.
 5. Each mention takes its surrogate in its own format (case, blanks, punctuation).
 
 Everything is DataFrame functions. Only texts with entities are joined, by a digest of the text, so
@@ -16,13 +18,16 @@ nulls, repeated ids and copies do no harm.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgrove.llm.common import plain_text
 from textgrove.workspace import Workspace
 
-ROUNDS = 16
+WIDEN = 8  # draws in the entity's own form, before forms with few values become wider
+STALLED = 32  # rounds without fewer collisions after which a form counts as exhausted
 # Titles by gender and script, and given names that go with them.
 TITLES = {
     ("male", "latin"): ("Mr", "Herr", "Señor", "Monsieur"),
@@ -84,6 +89,9 @@ def _kind(surface: Column) -> Column:
     return F.coalesce(kind, F.lit("card"))
 
 
+GENDERED = "|"  # in the canonical form of a name, before what its title tells
+
+
 def _described(found: DataFrame) -> DataFrame:
     """``surface`` with kind, detail (what of the form is kept), lead (kept text) and canon."""
     rows = found.withColumn("kind", _kind(F.col("surface")))
@@ -109,7 +117,7 @@ def _described(found: DataFrame) -> DataFrame:
     )
     canon = (
         F.when(kind.isin("secret", "access_key", "address"), F.col("body"))
-        .when(kind == "name", F.lower("body"))
+        .when(kind == "name", F.concat(F.lower("body"), F.lit(GENDERED), F.regexp_replace(gender, " .*", "")))
         .otherwise(F.lower(F.regexp_replace("body", "[^A-Za-z0-9]", "")))
     )
     return rows.withColumn("detail", detail).withColumn("canon", canon)
@@ -149,7 +157,8 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     spelled = F.array_join(F.transform(F.split("canon", ""), letter), "")
     octets = F.transform(
         F.split("canon", r"\."),
-        lambda o, i: F.when(F.length(o) == 1, 1 + F.pmod(value(i), F.lit(9)))
+        lambda o, i: F.when(F.col("attempt") >= WIDEN, 1 + F.pmod(value(i), F.lit(254)))
+        .when(F.length(o) == 1, 1 + F.pmod(value(i), F.lit(9)))
         .when(F.length(o) == 2, 10 + F.pmod(value(i), F.lit(90)))
         .otherwise(100 + F.pmod(value(i), F.lit(155)))
         .cast("string"),
@@ -159,7 +168,7 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
         first, parts = given.split(), SYLLABLES[script].split()
         places = F.sequence(F.lit(1), F.least(F.lit(3) + F.col("attempt"), F.lit(12)))
         last = F.initcap(F.array_join(F.transform(places, lambda i: listed(parts, i)), ""))
-        words = F.size(F.split("canon", " "))
+        words = F.size(F.split(_body("canon"), " "))
         whole = (
             F.when(words == 1, last)
             .when(words == 2, F.concat_ws(" ", listed(first, F.lit(0)), last))
@@ -171,12 +180,19 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     valid = (kind == "card") & (_check_sum(canon) == 0)
     fixed = F.expr("substring(drawn, 1, length(drawn) - 1)")
     digit = F.pmod(F.lit(10) - _check_sum(F.concat(fixed, F.lit("0"))), F.lit(10)).cast("string")
-    # the form has few values for some entities: after many draws the last ones become longer
-    longer = F.when(F.col("attempt") >= ROUNDS // 2, F.col("attempt").cast("string")).otherwise("")
-    surrogate = F.concat(F.when(valid, F.concat(fixed, digit)).otherwise(F.col("drawn")), longer)
+    # short e-mail addresses have few values: later draws get more letters in front
+    more = F.sequence(F.lit(WIDEN), F.least(F.col("attempt"), F.lit(WIDEN + 12)))
+    more = F.array_join(F.transform(more, lambda i: pick("abcdefghijklmnopqrstuvwxyz", i + 64)), "")
+    more = F.when((kind == "email") & (F.col("attempt") >= WIDEN), more).otherwise("")
+    surrogate = F.concat(more, F.when(valid, F.concat(fixed, digit)).otherwise(F.col("drawn")))
     return rows.select("kind", "detail", "canon", "attempt", surrogate.alias("surrogate"))
 
 
+def _body(canon: str) -> Column:
+    """A canonical form without the gender that tells names apart."""
+    return F.substring_index(canon, GENDERED, 1)
+
+
 def _check_sum(digits: Column) -> Column:
     """Luhn sum modulo 10."""
     doubled = F.transform(
@@ -189,18 +205,27 @@ def _check_sum(digits: Column) -> Column:
 
 
 def _assigned(entities: DataFrame, key: str, work: Workspace) -> DataFrame:
-    """kind, canon, surrogate: all surrogates of a kind differ from each other and from all entities."""
+    """kind, canon, surrogate: all surrogates of a kind differ from each other and from all entities.
+
+    Rounds go on until none collides; a form without free values left is an error, never a collision.
+    """
     state = work.write(_draw(entities.withColumn("attempt", F.lit(0)), key), "drawn_0")
-    for step in range(1, ROUNDS + 1):
+    step, fewest, since = 0, None, 0
+    while True:
+        step += 1
         twice = state.groupBy("kind", F.lower("surrogate").alias("s"))
         twice = twice.agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         named = state.select("kind", "canon", F.lower("surrogate").alias("s"))
         shared = named.join(twice, ["kind", "s"]).filter("canon <> first").select("kind", "canon")
-        real = state.select("kind", F.lower("canon").alias("s")).distinct()
+        real = state.select("kind", F.lower(_body("canon")).alias("s")).distinct()
         taken = named.join(real, ["kind", "s"], "left_semi").select("kind", "canon")
         bad = work.write(shared.union(taken).distinct(), f"bad_{step}")
-        if bad.isEmpty():
+        left = bad.count()
+        if not left:
             break
+        fewest, since = (left, step) if fewest is None or left < fewest else (fewest, since)
+        if step - since > STALLED:
+            raise ValueError(f"{left} entities find no free surrogate of their form")
         good = state.join(bad, ["kind", "canon"], "left_anti")
         again = state.join(bad, ["kind", "canon"], "left_semi").drop("surrogate")
         again = _draw(again.withColumn("attempt", F.lit(step)), key)
@@ -238,24 +263,31 @@ def replaced(
     docs = docs.drop(count_col)
     text = plain_text(text_col)
     has = text.rlike(HINT) & text.rlike(ANY)
-    hit = docs.filter(has).withColumn("__digest", F.sha2(text, 256))
-    found = hit.select("__digest", text.alias("text")).dropDuplicates(["__digest"])
+    mark, changed_text = (f"{name}_{uuid.uuid4().hex}" for name in ("digest", "text"))  # clash with no column
+    hit = docs.filter(has).withColumn(mark, F.sha2(text, 256))
+    found = hit.select(F.col(mark).alias("digest"), text.alias("text")).dropDuplicates(["digest"])
     found = found.select(
-        F.col("__digest").alias("digest"),
+        "digest",
         F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"),
         F.split("text", ANY, -1).alias("gaps"),
     )
     found = work.write(found, "found")
     mentions = found.select("digest", F.explode(F.array_distinct("mentions")).alias("surface"))
-    surfaces = work.write(_described(mentions.select("surface").distinct()), "surfaces")
+    surfaces = _described(mentions.select("surface").distinct())
+    surfaces = work.write(surfaces.filter((F.col("kind") != "card") | (_check_sum(F.col("canon")) == 0)), "surfaces")
     entities = surfaces.groupBy("kind", "canon").agg(F.min("detail").alias("detail"))
     chosen = _assigned(entities, key, work)
+    longer = F.when(F.col("kind") == "email", F.length("surrogate") - F.length("canon")).otherwise(0)
+    surrogate, front = F.expr("substring(surrogate, longer + 1)"), F.expr("substring(surrogate, 1, longer)")
     body = F.when(F.col("kind").isin("secret", "access_key", "address", "name"), F.col("surrogate")).otherwise(
-        _poured(F.col("body"), F.col("surrogate"))
+        F.concat(front, _poured(F.col("body"), surrogate))
     )
-    mapped = surfaces.join(chosen, ["kind", "canon"]).select("surface", F.concat("lead", body).alias("new"))
+    mapped = surfaces.join(chosen, ["kind", "canon"]).withColumn("longer", longer)
+    mapped = mapped.select("surface", F.concat("lead", body).alias("new"))
     mapped = work.write(mapped, "mapped")
-    by_text = mentions.join(mapped, "surface").groupBy("digest")
+    # a mention without a surrogate is a long number that only looked like a card
+    by_text = mentions.join(mapped, "surface", "left").withColumn("new", F.coalesce("new", "surface"))
+    by_text = by_text.groupBy("digest")
     by_text = by_text.agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("new"))
     pieces = F.zip_with(
         "gaps",
@@ -263,17 +295,17 @@ def replaced(
         lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
     )
     done = found.join(by_text, "digest").select(
-        F.col("digest").alias("__digest"),
-        F.array_join(pieces, "").alias("__text"),
-        F.size("mentions").cast("long").alias(count_col),
+        F.col("digest").alias(mark),
+        F.array_join(pieces, "").alias(changed_text),
+        F.size(F.filter("mentions", lambda m: F.element_at("new", m) != m)).cast("long").alias(count_col),
     )
     done = work.write(done, "replaced")
-    changed = hit.join(done, "__digest").drop("__digest").withColumn(text_col, F.col("__text")).drop("__text")
+    changed = hit.join(done, mark).drop(mark).withColumn(text_col, F.col(changed_text)).drop(changed_text)
     same = docs.filter(~has).withColumn(count_col, F.lit(0).cast("long"))
     return same.unionByName(changed)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns as they were and entities in ``text_col`` replaced (see replaced)."""
-    count = "__n_entities"
+    count = f"n_{uuid.uuid4().hex}"
     return replaced(docs, key, text_col, count).select(*docs.columns)

@@ -10,8 +10,9 @@ many of its expressions, in all and per word, the toxic class makes much likelie
 
 Counting and smoothing are joins over n-gram tables. All grams score. A table of at most ``MAX_GRAMS``
 is sent to the tasks that score. A larger one is joined to the grams of the corpus's distinct words,
-and the scores of the words to the documents; both ways give the same features. Unseen grams add
-nothing. The last step, a logistic calibration of the nine numbers in ``FEATURES``, is fitted on at most
+and the scores of the words to the documents; both ways give the same features. Of a gram that
+neither class has, the shared backoff cancels and what is left is how much mass its context leaves
+for the new in either class; a context that neither has tells nothing. The last step, a logistic calibration of the nine numbers in ``FEATURES``, is fitted on at most
 ``CALIBRATION`` training rows, which gave no counts.
 """
 
@@ -19,16 +20,16 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import uuid
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from textgrove.llm.common import crc_mod, fields, map_texts, plain_text, with_labels
+from textgrove.llm.common import crc_mod, fields, map_texts, plain_text, sampled, with_labels
 from textgrove.llm.logistic import fit_logistic
 from textgrove.workspace import Workspace
 
@@ -45,8 +46,8 @@ FEATURES = (
     "strong 1", "strong 2", "strong rate 1", "strong rate 2",
 )
 BORDER = "_"
-WORD = "[\\p{L}\\p{M}]+"
-SCORED_WORDS = re.compile(r"[^\W\d_]+").findall
+WORD = "[\\p{L}\\p{M}]+"  # counting and scoring cut texts by the same pattern
+SCORED_WORDS = regex.compile(WORD).findall
 MEMO = 100_000
 
 
@@ -87,7 +88,10 @@ def _smoothed(grams: DataFrame, order: int, lower: DataFrame | None, letters: in
 
 
 def gram_scores(counts: DataFrame, work: Workspace) -> DataFrame:
-    """``gram, score``: log of its toxic minus its ordinary probability after its context."""
+    """``gram, score``: log of its toxic minus its ordinary probability after its context.
+
+    Rows of ``ORDER - 1`` letters are contexts; their score is that of every gram not listed.
+    """
     levels = {ORDER - 1: counts.groupBy(F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n"))}
     levels[ORDER - 1] = work.write(levels[ORDER - 1], f"grams_{ORDER - 1}")
     for k in range(ORDER - 2, 0, -1):
@@ -111,7 +115,12 @@ def gram_scores(counts: DataFrame, work: Workspace) -> DataFrame:
         freed = DISCOUNT * F.col(f"{c}_kinds") + SHARED
         return F.log((kept + freed * F.col("p")) / (F.col(f"{c}_total") + SHARED))
 
-    return rows.select("gram", (log_p("toxic") - log_p("ordinary")).alias("score"))
+    def log_new(c):
+        return F.log((DISCOUNT * F.col(f"{c}_kinds") + SHARED) / (F.col(f"{c}_total") + SHARED))
+
+    seen = rows.select("gram", (log_p("toxic") - log_p("ordinary")).alias("score"))
+    new = context.select(F.col("head").alias("gram"), (log_new("toxic") - log_new("ordinary")).alias("score"))
+    return seen.unionByName(new)
 
 
 class Expressions:
@@ -123,7 +132,11 @@ class Expressions:
     def word(self, word: str) -> float:
         """Log-likelihood of the toxic class minus that of the ordinary class."""
         padded, get = BORDER * (ORDER - 1) + word + BORDER, self.scores.get
-        return sum(get(padded[i : i + ORDER], 0.0) for i in range(len(word) + 1))
+        total = 0.0
+        for i in range(len(word) + 1):
+            score = get(padded[i : i + ORDER])
+            total += get(padded[i : i + ORDER - 1], 0.0) if score is None else score
+        return total
 
     def document(self, text: str) -> list[float]:
         """What ``FEATURES`` names, all 0 without words."""
@@ -153,7 +166,7 @@ class Expressions:
 
 
 def document_features(rows: DataFrame, scores: DataFrame, work: Workspace, max_grams: int) -> DataFrame:
-    """``rows`` with the ``FEATURES`` of each document as ``features`` instead of the text.
+    """``rows`` with the ``FEATURES`` of each document as ``features`` instead of ``text``.
 
     ``scores(gram, score)`` is a stored table; above ``max_grams`` rows it is joined, not sent.
     """
@@ -190,7 +203,10 @@ def _joined_features(rows: DataFrame, scores: DataFrame, work: Workspace) -> Dat
     held = work.write(held, f"held_{uuid.uuid4().hex[:8]}")
     uses = held.select("at", F.explode("counted").alias("use")).select("at", "use.word", "use.n")
     grams = uses.select("word").distinct().select("word", F.explode(_cut()).alias("gram"))
-    values = grams.join(scores, "gram").groupBy("word").agg(F.sum("score").alias("value"))
+    contexts = scores.filter(F.length("gram") < ORDER).select(F.col("gram").alias("head"), F.col("score").alias("new"))
+    grams = grams.join(scores, "gram", "left").withColumn("head", F.substring("gram", 1, ORDER - 1))
+    grams = grams.join(contexts, "head", "left").select("word", F.coalesce("score", "new", F.lit(0.0)).alias("score"))
+    values = grams.groupBy("word").agg(F.sum("score").alias("value"))
     values = work.write(values, f"word_values_{uuid.uuid4().hex[:8]}")
     value, n = F.coalesce("value", F.lit(0.0)), F.col("n")
     uses = uses.join(values, "word", "left").select("at", "word", "n", value.alias("value"))
@@ -238,18 +254,23 @@ def toxicity(
     Null, empty and wordless texts score like one whose expressions tell nothing. Repeated rows stay. Without
     usable labels every score is 0; an empty table gives no rows.
     """
-    parts, held_out = fold
-    work = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text"))
+    found = _judged(rows, labels, fold, threshold, max_grams)
+    return found.select("doc_id", (F.col("part") == fold[1]).alias("held_out"), "score", "predicted")
+
+
+def _judged(rows: DataFrame, labels: DataFrame, fold: tuple[int, int], threshold: float, max_grams: int) -> DataFrame:
+    """``rows(doc_id, text, …)`` with part, score and predicted instead of the text."""
+    parts, held_out = fold
+    work = Workspace(rows.sparkSession)
     rows = rows.withColumn("part", crc_mod("doc_id", parts))
-    known = with_labels(rows, labels, "toxic").filter(F.col("part") != held_out)
+    known = with_labels(rows.select("doc_id", "text", "part"), labels, "toxic").filter(F.col("part") != held_out)
     calibrating = (held_out + 1) % parts
     counts = work.write(gram_counts(known.filter(F.col("part") != calibrating)), "counts")
     scores = work.write(gram_scores(counts, work), "scores")
     chosen = known.filter(F.col("part") == calibrating).select("text", "label")
-    chosen = document_features(chosen, scores, work, max_grams)
-    chosen = chosen.orderBy(F.xxhash64("features"), "features").limit(CALIBRATION).toArrow()
-    weights = _calibrate(chosen)
+    chosen = work.write(document_features(chosen, scores, work, max_grams), "calibrating")
+    weights = _calibrate(sampled(chosen, [F.xxhash64("features")], CALIBRATION).toArrow())
     found = document_features(rows, scores, work, max_grams)
     if weights is None:
         score = F.lit(0.0)
@@ -258,13 +279,8 @@ def toxicity(
         for i, w in enumerate(weights[1:]):
             linear = linear + F.lit(float(w)) * F.col("features")[i]
         score = 1 / (1 + F.exp(-linear))
-    found = found.withColumn("score", score)
-    return found.select(
-        "doc_id",
-        (F.col("part") == held_out).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+    found = found.withColumn("score", score).drop("features")
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def _calibrate(chosen) -> np.ndarray | None:
@@ -280,12 +296,20 @@ def _calibrate(chosen) -> np.ndarray | None:
     return np.concatenate([[fitted[0] - slopes @ centre], slopes])
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents judged toxic, columns as they were.
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    fold: tuple[int, int] = (5, 0),
+    threshold: float = 0.5,
+    max_grams: int = MAX_GRAMS,
+) -> DataFrame:
+    """``docs`` without the rows judged toxic, columns as they were.
 
-    Documents are dropped by id: of several rows with the same id, one judged toxic drops all. Rows
-    without an id stay.
+    Each row is judged by its own text (see ``toxicity``): of rows with one id only the toxic ones go. Rows
+    without an id are judged like any other; repeated rows stay or go together; null and empty texts stay
+    unless such a text is judged toxic; an empty table stays empty.
     """
-    bad = toxicity(docs, labels, id_col, **options).filter("predicted = 1 AND doc_id IS NOT NULL")
-    bad = bad.select(F.col("doc_id").alias("__toxic_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__toxic_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text"))
+    return _judged(rows, labels, fold, threshold, max_grams).filter("predicted = 0").select("row.*")
