@@ -11,7 +11,7 @@ import public_tokenizers
 
 from textgrove.llm.bpe import round_trip
 from textgrove.llm.decontaminate import decontaminate
-from textgrove.llm.near_copies import drop_near_copies
+from textgrove.llm.simhash import near_dedup
 from textgrove.llm.surrogates import pseudonymise
 from textgrove.llm.toxicity import drop_toxic
 from textgrove.workspace import Workspace
@@ -21,27 +21,27 @@ SURROGATE_KEY = "textgrove-surrogates-1"
 
 
 def toxicity(spark, docs, sf_dir):
-    """Documents judged toxic go."""
+    """Rows judged toxic go, each by its own text; rows without an id, repeated and empty ones are judged alike."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup(spark, docs, sf_dir):
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays, that with the smallest id."""
-    return drop_near_copies(docs)
+    """One row of each group of near copies by SimHash (three-word shingles, two bits) stays, that with the smallest id."""
+    return near_dedup(docs)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that contain a window of a benchmark item go."""
+    """Rows that contain a window of a benchmark item go; rows without text or id hold none or count like others."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark, docs, sf_dir):
-    """Personal data and secrets are replaced by surrogates."""
+    """Personal data and secrets are replaced by surrogates; all rows stay, null and empty texts as they are."""
     return pseudonymise(docs, SURROGATE_KEY)
 
 
 def tokens(spark, docs, sf_dir):
-    """Token ids of each document, with their number and digests of ids and decoded text."""
+    """Token ids of each row, with their number and digests of ids and decoded text; null counts as empty."""
     return round_trip(docs, RANKS, with_ids=True)
 
 
