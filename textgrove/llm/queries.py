@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from textgrove.llm import bpe, decontaminate, divergence, language_id, quality_rank, simhash
+from textgrove.llm import bpe, decontaminate, divergence, language_id, merkle, quality_rank, simhash
 from textgrove.llm import surrogates, token_counts, toxicity, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,6 +72,15 @@ def op10_language_id(spark, sf):
     return language_id.identify(_documents(spark, sf))
 
 
+def op12_merkle(spark, sf):
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _documents(spark, sf).select(*columns)
+    where = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = {"n_chars": F.col("n_chars") + 1}
+    found = merkle.audited(docs, columns, changed, where, "lang", "doc_id")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -90,6 +100,7 @@ QUERIES = {
         op8_url_rules,
         op9_divergence,
         op10_language_id,
+        op12_merkle,
         pipeline,
     )
 }
