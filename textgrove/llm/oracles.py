@@ -66,6 +66,31 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (r)
 """
 
+OP11 = r"""
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS MATERIALIZED (
+    SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(
+        CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+        row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place
+    FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.r = p.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 OP12 = r"""
 WITH RECURSIVE crc_step(i, k, v) AS (
     SELECT i, 0, i FROM range(256) t(i)
@@ -128,4 +153,4 @@ JOIN climb c ON c.r = p.r AND c.n = 1
 CROSS JOIN (SELECT d FROM upper_nodes WHERE n = 1) u
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op8_url_rules": OP8, "op12_merkle": OP12}
+ORACLES = {"op3_decontaminate": OP3, "op8_url_rules": OP8, "op11_hard_negatives": OP11, "op12_merkle": OP12}

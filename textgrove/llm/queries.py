@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from textgrove.llm import bpe, decontaminate, divergence, language_id, merkle, quality_rank, simhash
-from textgrove.llm import surrogates, token_counts, toxicity, url_rules
+from textgrove.llm import bpe, decontaminate, divergence, hard_negatives, language_id, merkle
+from textgrove.llm import quality_rank, simhash, surrogates, token_counts, toxicity, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,12 @@ def op10_language_id(spark, sf):
     return language_id.identify(_documents(spark, sf))
 
 
+def op11_hard_negatives(spark, sf):
+    vectors = _table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", shifted))
+
+
 def op12_merkle(spark, sf):
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     docs = _documents(spark, sf).select(*columns)
@@ -100,6 +106,7 @@ QUERIES = {
         op8_url_rules,
         op9_divergence,
         op10_language_id,
+        op11_hard_negatives,
         op12_merkle,
         pipeline,
     )
