@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from textgrove.llm import bpe, decontaminate, divergence, hard_negatives, language_id, merkle
-from textgrove.llm import quality_rank, simhash, surrogates, token_counts, toxicity, url_rules
+from textgrove.llm import ngram_join, quality_rank, simhash, surrogates, token_counts, toxicity, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,6 +87,10 @@ def op12_merkle(spark, sf):
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_ngram_join(spark, sf):
+    return ngram_join.ngram_join(_documents(spark, sf))
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -108,6 +112,7 @@ QUERIES = {
         op10_language_id,
         op11_hard_negatives,
         op12_merkle,
+        op13_ngram_join,
         pipeline,
     )
 }
