@@ -214,7 +214,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 def _banded(tokens: np.ndarray, classes: np.ndarray, band: int, needed: int) -> np.ndarray:
     rare = int(np.searchsorted(classes, 2))
-    salt = np.uint64(band) * FACTORS[9]
+    salt = FACTORS[9:10] * np.uint64(band)
     found = [_mixed(tokens[: min(rare, needed)] * FACTORS[0] + salt)]
     needed -= min(rare, needed)
     for k in (2, 3):
