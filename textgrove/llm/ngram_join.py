@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, count
 
@@ -36,10 +37,13 @@ WORDS = 5
 # Similarity 4/5: sets of sizes a and b link if 9 * common >= 4 * (a + b).
 THRESHOLDS = (32, 1024)  # texts from which a token is of class 2, 3
 LISTED = 4_000_000  # frequent tokens that are sent to the tasks; beyond, the thresholds double
-COUNTED = 1 << 22  # tokens a task counts at a time
+COUNTED = 1 << 20  # tokens a task counts at a time
 RANGE_BYTES = 32 * 1024 * 1024  # of text whose tokens one task adds up
 SHORT = 24  # low bits of a token that counting leaves out
-MEMO = 500_000
+PIECE = 1 << 20  # bytes of text whose words are hashed at once
+REMEMBERED = 100_000  # sets
+BLANK = re.compile(rb"[\x09-\x0d ]")
+IS_BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 DEALT = 1024  # rows of one key that meet in a task
 FACTORS = np.random.default_rng(7).integers(1 << 62, 1 << 63, 12, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -50,25 +54,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Token sets of texts; word hashes are kept for later texts."""
+    """Token sets of texts. Word hashes are differences of running sums over all bytes of many texts at once."""
 
     def __init__(self, seed: int):
-        self.seed, self.memo = seed, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Sorted distinct tokens; A-Z are lower-cased, words are runs without ASCII white space."""
-        words = text.encode().lower().split()
-        if len(words) < WORDS:
-            whole = [xxhash.xxh64_intdigest(b" ".join(words), self.seed + 1)] if words else []
-            return np.array(whole, np.uint64)
-        memo, new, seed = self.memo, xxhash.xxh64_intdigest, self.seed
-        if len(memo) > MEMO:
-            memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = new(word, seed)
-        ids = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        n = len(ids) - WORDS + 1
-        return np.unique(_mixed(sum(ids[i : i + n] * FACTORS[i] for i in range(WORDS))))
+        draw = np.random.default_rng([seed, 5])
+        self.value = draw.integers(0, 1 << 64, 256, np.uint64)
+        self.factor = int(draw.integers(0, 1 << 63)) * 2 + 1
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.powers):
+            back = pow(self.factor, -1, 1 << 64)
+            self.powers, self.inverse = (
+                np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, f, np.uint64)]) for f in (self.factor, back)
+            )
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of ``data`` start, and their hashes. It is read in pieces that end between words."""
+        starts, ids, at = [], [], 0
+        while at < len(data):
+            end = BLANK.search(data, at + PIECE)
+            end = end.start() if end else len(data)
+            piece = np.frombuffer(data, np.uint8, end - at, at)
+            self._powers(len(piece) + 1)
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], IS_BLANK[piece], [True]))))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value[piece] * self.powers[: len(piece)])))
+            first, last = edge[::2], edge[1::2]
+            starts.append(first + at)
+            ids.append(_mixed((sums[last] - sums[first]) * self.inverse[first]))
+            at = end
+        return np.concatenate(starts or [np.empty(0, np.int64)]), np.concatenate(ids or [np.empty(0, np.uint64)])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The sorted distinct tokens of each; A-Z are lower-cased, words are runs without ASCII white space."""
+        found, group, size = [], [], 0
+        for text in texts:
+            group.append(text.encode())
+            size += len(group[-1])
+            if size > PIECE:
+                found += self._sets(group)
+                group, size = [], 0
+        return found + self._sets(group)
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        starts, ids = self._words(b"\n".join(texts).lower())
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        n = max(0, len(ids) - WORDS + 1)
+        tokens = _mixed(sum((ids[i : i + n] * FACTORS[i] for i in range(WORDS)), np.zeros(n, np.uint64)))
+        found, first = [], 0
+        for last in ends:
+            if last - first >= WORDS:
+                mine = np.sort(tokens[first : last - WORDS + 1])
+            else:  # the whole sequence; its number of words tells it from others
+                words = ids[first:last]
+                mine = _mixed((words * FACTORS[: len(words)]).sum(dtype=np.uint64, keepdims=True) + FACTORS[11:] * np.uint64(len(words)))
+                mine = mine[: len(words)]
+            keep = np.ones(len(mine), bool)
+            np.not_equal(mine[1:], mine[:-1], out=keep[1:])
+            found.append(mine[keep])
+            first = last
+        return found
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -116,8 +161,8 @@ def _sketch(docs: DataFrame, seed: int, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, size = Shingles(seed), [], 0
-        for batch in sliced(batches):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        for batch in sliced(batches, 500):
+            sets = shingles(batch.column("text").to_pylist())
             raw = [s.tobytes() for s in sets]
             full = [len(s) > 0 for s in sets]
             yield made(
@@ -244,12 +289,11 @@ def _signed(docs: DataFrame, seed: int, classes) -> DataFrame:
         shingles, known, seen = Shingles(seed), classes.value, set()
         for batch in sliced(batches, 200):
             sigs, sids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text)
+            for tokens in shingles(batch.column("text").to_pylist()):
                 sid = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
                 if sid in seen:
                     continue
-                if len(seen) > MEMO:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(sid)
                 sigs.append(signatures(tokens, known(tokens)))
@@ -340,7 +384,7 @@ class _Links:
 
         def setup():
             shingles = Shingles(seed)
-            return lambda texts: [[shingles(t).view(np.int64) for t in texts]]
+            return lambda texts: [[s.view(np.int64) for s in shingles(texts)]]
 
         tokens = map_texts(texts.select("sid", "text"), fields(tokens=ArrayType(LongType(), False)), setup)
         return self.work.write(tokens.dropDuplicates(["sid"]), f"tokens_{self.step}")
