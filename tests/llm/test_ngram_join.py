@@ -57,7 +57,7 @@ def crowd():
     return rows
 
 
-@pytest.mark.parametrize("thresholds, dealt, listed", [((32, 1024), 1024, 10**6), ((2, 5), 8, 10**6), ((2, 30), 8, 50)])
+@pytest.mark.parametrize("thresholds, dealt, listed", [((8, 256), 1024, 10**6), ((2, 5), 8, 10**6), ((50, 1000), 8, 50)])
 def test_crowded_groups(spark, monkeypatch, thresholds, dealt, listed):
     monkeypatch.setattr(op, "THRESHOLDS", thresholds)
     monkeypatch.setattr(op, "DEALT", dealt)

@@ -35,7 +35,7 @@ from textgrove.workspace import Workspace, broadcast_if_bounded
 
 WORDS = 5
 # Similarity 4/5: sets of sizes a and b link if 9 * common >= 4 * (a + b).
-THRESHOLDS = (32, 1024)  # texts from which a token is of class 2, 3
+THRESHOLDS = (8, 256)  # texts from which a token is of class 2, 3
 LISTED = 4_000_000  # frequent tokens that are sent to the tasks; beyond, the thresholds double
 COUNTED = 1 << 20  # tokens a task counts at a time
 RANGE_BYTES = 32 * 1024 * 1024  # of text whose tokens one task adds up
@@ -366,7 +366,7 @@ class _Links:
         for end, other in (("a", "b"), ("b", "a")):
             side = self.sets.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
             pairs = _dealt_join(pairs, side, end, other)
-        sized = pairs.filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+        sized = pairs.filter(SIZED)
         near = self.work.write(_bounded(sized), f"near_{self.step}")
         tokens = self._tokens(near)
         for end, other in (("a", "b"), ("b", "a")):
@@ -407,58 +407,67 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs, kind, setup)
 
 
-def _crossing(rows: DataFrame, roots: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """``sig, sid, root`` of the signatures whose sets are in several components."""
-    rooted = rows.select("sig", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rooted = work.write(rooted, f"rooted_{name}")
+SIZED = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+
+
+def _crossing(rows: DataFrame, members: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``sig, sid, n, root`` of the signatures whose sets are in several components; ``members(sid, n, root)``."""
+    rooted = work.write(rows.select("sig", "sid").join(members, "sid"), f"rooted_{name}")
     several = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     return work.write(rooted.join(several.select("sig"), "sig"), f"crossing_{name}")
 
 
-def _remaining(rows: DataFrame, roots: DataFrame, sets: DataFrame, work: Workspace) -> tuple[DataFrame, int, DataFrame, int]:
-    """The pairs of sets of different components in ``rows(sig, sid, root)`` two ways, each with its exact number of rows.
+def _remaining(rows: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
+    """``a, b``: all pairs of sets of different components of ``rows(sig, sid, n, root)`` that may be similar by size.
 
     Either set by set below each signature, or each set of a smaller component with all sets of a larger one
-    that it shares a signature with.
+    that it shares a signature with: whichever makes fewer rows, by their exact numbers.
     """
-    a = rows.select("sig", F.col("sid").alias("a"), F.col("root").alias("root_a"))
-    b = rows.select("sig", F.col("sid").alias("b"), F.col("root").alias("root_b"))
-    direct = a.join(b, "sig").filter("root_a < root_b").select("a", "b")
-    per = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    n_direct = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-    members = sets.select("sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    sizes = work.write(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")), f"sizes_{len(work.tables)}_{id(rows)}")
+    a, b = (rows.select("sig", *[F.col(c).alias(f"{c}_{end}") for c in ("sid", "n", "root")]) for end in "ab")
+    direct = a.join(b, "sig").filter("root_a < root_b").filter(SIZED).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    per = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
+    per = per.groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    n_direct = per.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()[0] or 0
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = work.write(sizes, "sizes")
     kinds = rows.select("sig", "root").distinct().join(sizes, "root")
-    mine = rows.join(sizes, "root").select("sig", F.col("sid").alias("a"), F.struct("size", "root").alias("mine"))
-    meets = mine.join(kinds.select("sig", F.struct("size", "root").alias("other")), "sig").filter("mine < other")
-    meets = work.write(meets.select("a", "other.root", "other.size").distinct(), f"meets_{id(rows)}")
+    other = F.struct("size", "root", "low", "high").alias("other")
+    mine = rows.join(sizes.select("root", "size"), "root").select("sig", "sid", "n", F.struct("size", "root").alias("mine"))
+    fits = "(mine.size, mine.root) < (other.size, other.root) AND 4 * n <= 5 * other.high AND 5 * n >= 4 * other.low"
+    meets = mine.join(kinds.select("sig", other), "sig").filter(fits).select("sid", "n", "other.root", "other.size")
+    meets = work.write(meets.distinct(), "meets")
     n_meets = meets.agg(F.sum("size")).first()[0] or 0
+    if n_direct <= n_meets:
+        return direct
     parts = F.ceil(F.col("size") / DEALT)
-    dealt = meets.select("a", "root", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    held = members.join(sizes, "root").select("root", F.pmod(F.xxhash64("sid"), parts).alias("part"), F.col("sid").alias("b"))
-    return direct, int(n_direct), dealt.join(held, ["root", "part"]).select("a", "b"), int(n_meets)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    dealt = meets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), "root", part)
+    held = members.join(sizes.select("root", "size"), "root")
+    held = held.select("root", F.pmod(F.xxhash64("sid"), parts).alias("part"), F.col("sid").alias("b"), F.col("n").alias("n_b"))
+    return dealt.join(held, ["root", "part"]).filter(SIZED).select("a", "b")
 
 
-def _linked(rows: DataFrame, links: _Links, sets: DataFrame, work: Workspace) -> DataFrame:
-    """``sid, root`` of all sets but roots, for the candidates of ``rows(sig, lead, sid)``."""
+def _linked(rows: DataFrame, links: _Links, work: Workspace) -> DataFrame:
+    """``sid, root`` of all sets but roots, for the candidates of ``rows(sig, lead, sid)``.
+
+    After the first leaders every signature draws another one, each by itself, so that a set outside a crowd of
+    similar sets meets many of them; this goes on while it links anything. What is left is compared in full.
+    """
     edges = links.of(rows.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")))
     for turn in count():
         roots = components(edges, work, f"turn_{turn}").select(F.col("node").alias("sid"), "root")
         roots = work.write(roots, f"roots_{turn}")
-        left = _crossing(rows, roots, work, str(turn))
-        n = left.count()
-        if not n:
+        members = links.sets.select("sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        members = work.write(members, f"members_{turn}")
+        left = _crossing(rows, members, work, str(turn))
+        if left.isEmpty():
             return roots
-        direct, n_direct, meets, n_meets = _remaining(left, roots, sets, work)
-        lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("a"), F.col("root").alias("of")))
-        led = left.join(left.groupBy("sig").agg(lead.alias("lead")), "sig").filter("root <> lead.of")
-        found = None
-        if min(n_direct, n_meets) > 8 * n:
-            found = links.of(led.select("lead.a", F.col("sid").alias("b")))
-        if found is None or found.isEmpty():
-            found = links.of(direct if n_direct <= n_meets else meets)
-            edges = work.write(edges.unionByName(found), f"edges_{turn}")
+        lead = F.struct(F.xxhash64("sid", "sig", F.lit(turn)).alias("h"), F.col("sid").alias("a"), F.col("root").alias("of"))
+        led = left.join(left.groupBy("sig").agg(F.min(lead).alias("lead")), "sig").filter("root <> lead.of")
+        found = links.of(led.select("lead.a", F.col("sid").alias("b")))
+        if found.isEmpty():
+            found = links.of(_remaining(left, members, work))
+            edges = work.write(edges.unionByName(found), "edges_all")
             return components(edges, work, "all").select(F.col("node").alias("sid"), "root")
         edges = work.write(edges.unionByName(found), f"edges_{turn}")
 
@@ -489,7 +498,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = rows.sparkSession.sparkContext.broadcast(Classes(_frequent(sketch, ranges, work)))
     shared = work.write(_shared(_signed(rows, seed, classes)), "shared")
     classes.unpersist()
-    roots = _linked(shared, _Links(rows, sets, seed, work), sets, work)
+    roots = _linked(shared, _Links(rows, sets, seed, work), work)
     rooted = sets.select("sid", "low").join(roots, "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     rooted = work.write(rooted, "classes")
     names = work.write(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "names")
