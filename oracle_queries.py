@@ -89,6 +89,9 @@ ROOT = [
 ]
 
 
+CLUSTERS = 20  # fixed value: default number of clusters
+
+
 def seeds(tag: str, live: str, k: int, restarts: int) -> list[str]:
     return [
         f"{tag}_seeds AS MATERIALIZED (SELECT node, restart, k, doc_id FROM (SELECT node, restart, doc_id,"
@@ -215,47 +218,74 @@ def evaluated(
     )
 
 
-def bisect(weights: list[str], criterion: str, unsplit: str | None = None) -> str:
-    """Four clusters: the root, then twice the best leaf, are split."""
+def grown(weights: list[str], criterion: str, clusters: int, unsplit: str | None = None) -> list[str]:
+    """A whole tree, split by split: ``leaf``, ``member``, ``numbered`` and ``popped`` (node, step)."""
+    last = clusters - 1
     if criterion == "largest":
-        pick, where = "n DESC, node", "NOT empty"
+        pick, where = "n DESC, step, node", "NOT empty"
     else:
-        pick = ("gain" if criterion == "e1" else "gain DESC") + ", node"
+        pick = "CAST(format('{:.9g}', round(gain, 12)) AS DOUBLE)" + ("" if criterion == "e1" else " DESC") + ", step, node"
         where = "gain IS NOT NULL" + (" AND gain >= 0" if criterion == "i1" else "")
-    chosen = "SELECT a.doc_id, CAST(2 * a.node + a.k AS BIGINT) AS node FROM {t}_a a JOIN {t}_best b ON a.node = b.node AND a.restart = b.restart"
-    ctes = weights + ROOT
-    ctes += evaluated("t1", "root", criterion, None)
-    ctes += [f"ch1 AS MATERIALIZED ({chosen.format(t='t1')})"]
-    ctes += evaluated("t2", "ch1", criterion, "t1", unsplit=unsplit)
+    ctes = weights + ROOT + evaluated("t1", "root", criterion, None)
     ctes += [
-        f"pop2 AS MATERIALIZED (SELECT node FROM t2_node WHERE {where} ORDER BY {pick} LIMIT 1)",
-        f"ch2 AS MATERIALIZED ({chosen.format(t='t2')} WHERE a.node IN (SELECT node FROM pop2))",
+        "open1 AS MATERIALIZED (SELECT *, 1 AS step FROM t1_node)",
+        f"pop1 AS MATERIALIZED (SELECT node FROM open1 WHERE NOT empty{' AND gain >= 0' if criterion == 'i1' else ''})",
+        "sides1_side AS MATERIALIZED (FROM t1_side)",
+        "sides1_best AS MATERIALIZED (FROM t1_best)",
     ]
-    ctes += evaluated("t3", "ch2", criterion, "t2", unsplit=unsplit)
-    ctes += [
-        "open3 AS MATERIALIZED (SELECT * FROM t2_node WHERE node NOT IN (SELECT node FROM pop2) UNION ALL SELECT * FROM t3_node)",
-        f"pop3 AS MATERIALIZED (SELECT node FROM open3 WHERE {where} ORDER BY {pick} LIMIT 1)",
-        "t23_side AS MATERIALIZED (SELECT * FROM t2_side UNION ALL SELECT * FROM t3_side)",
-        "t23_best AS MATERIALIZED (SELECT * FROM t2_best UNION ALL SELECT * FROM t3_best)",
-        f"ch3 AS MATERIALIZED (SELECT * FROM ({chosen.format(t='t2')} WHERE a.node IN (SELECT node FROM pop3))"
-        f" UNION ALL SELECT * FROM ({chosen.format(t='t3')} WHERE a.node IN (SELECT node FROM pop3)))",
-    ]
-    ctes += evaluated("t4", "ch3", criterion, "t23", unsplit=unsplit)
+    for s in range(1, clusters):
+        # Children of every evaluated node so far; those of the popped one are the documents of the next step.
+        union = "" if s == 1 else f" UNION ALL FROM below{s - 1}"
+        ctes += [
+            f"below{s} AS MATERIALIZED (SELECT a.doc_id, a.node AS parent, CAST(2 * a.node + a.k AS BIGINT) AS node"
+            f" FROM t{s}_a a JOIN t{s}_best b ON a.node = b.node AND a.restart = b.restart{union})",
+            f"ch{s} AS MATERIALIZED (SELECT doc_id, node FROM below{s} WHERE parent IN (FROM pop{s}))",
+        ]
+        ctes += evaluated(f"t{s + 1}", f"ch{s}", criterion, f"sides{s}", unsplit=unsplit)
+        ctes += [
+            f"open{s + 1} AS MATERIALIZED (SELECT * FROM open{s} WHERE node NOT IN (FROM pop{s})"
+            f" UNION ALL SELECT *, {s + 1} AS step FROM t{s + 1}_node)",
+            f"pop{s + 1} AS MATERIALIZED (SELECT node FROM open{s + 1} WHERE {where} ORDER BY {pick} LIMIT 1)",
+            f"sides{s + 1}_side AS MATERIALIZED (FROM sides{s}_side UNION ALL FROM t{s + 1}_side)",
+            f"sides{s + 1}_best AS MATERIALIZED (FROM sides{s}_best UNION ALL FROM t{s + 1}_best)",
+        ]
+    popped = " UNION ALL ".join(f"SELECT node, {s} AS step FROM pop{s}" for s in range(1, clusters))
+    nodes = " UNION ALL ".join(f"SELECT *, {s} AS step FROM t{s}_node" for s in range(1, clusters + 1))
     ctes += [
-        "leaf AS MATERIALIZED (SELECT * FROM (SELECT * FROM open3 UNION ALL SELECT * FROM t4_node)"
-        " WHERE node NOT IN (SELECT node FROM pop3))",
-        "member AS MATERIALIZED (SELECT doc_id, node FROM (SELECT * FROM ch1 UNION ALL SELECT * FROM ch2 UNION ALL SELECT * FROM ch3)"
-        " WHERE node IN (SELECT node FROM leaf))",
+        f"popped AS MATERIALIZED ({popped})",
+        f"evaluated AS MATERIALIZED ({nodes})",
+        f"leaf AS MATERIALIZED (FROM open{last + 1})",
+        f"member AS MATERIALIZED (SELECT doc_id, node FROM below{last} UNION ALL FROM root)",
         "numbered AS MATERIALIZED (SELECT node, CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS cluster"
-        " FROM (SELECT node, count(*) AS n, min(doc_id) AS first FROM member GROUP BY node))",
+        " FROM (SELECT node, count(*) AS n, min(doc_id) AS first FROM member WHERE node IN (SELECT node FROM leaf) GROUP BY node))",
     ]
+    return ctes
+
+
+def bisect(weights: list[str], criterion: str, unsplit: str | None = None, clusters: int = CLUSTERS) -> str:
     return query(
-        ctes,
+        grown(weights, criterion, clusters, unsplit),
         "SELECT doc_id, m.node, cluster, l.n, round(gain, 6) AS gain, round(cohesion, 6) AS cohesion"
         " FROM member m JOIN leaf l ON l.node = m.node JOIN numbered x ON x.node = m.node",
     )
 
 
+def tree_report(weights: list[str], criterion: str) -> str:
+    return query(
+        grown(weights, criterion, CLUSTERS),
+        "SELECT cluster, l.node, n, round(gain, 6) AS gain, round(cohesion, 6) AS cohesion, round(sse, 6) AS sse"
+        " FROM leaf l JOIN numbered USING (node)",
+    )
+
+
+def tree_nodes(weights: list[str], criterion: str) -> str:
+    return query(
+        grown(weights, criterion, CLUSTERS),
+        "SELECT node, CASE WHEN node > 1 THEN node // 2 END AS parent, CAST(p.step AS INTEGER) AS split_order, n,"
+        " round(gain, 6) AS gain, cluster FROM evaluated LEFT JOIN popped p USING (node) LEFT JOIN numbered USING (node)",
+    )
+
+
 def best_assign(weights: list[str], k: int, restarts: int, metric: str, iterations: int) -> list[str]:
     """``result(doc_id, k, s)``: the best restart of direct K-means."""
     order = "score DESC" if metric == "cosine" else "score"
@@ -331,6 +361,9 @@ TURN_LINE = (
     " || chr(9) || text AS line FROM conversations)"
 )
 DOCS = tfidf(ALL)
+# One coordinate per document: its source or language.
+SOURCES = ["weights AS MATERIALIZED (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS term_id, CAST(1 AS DOUBLE) AS w FROM documents)"]
+LANGUAGES = ["weights AS MATERIALIZED (SELECT doc_id, ascii(substr(lang, 2)) AS term_id, CAST(1 AS DOUBLE) AS w FROM documents)"]
 
 ORACLES = {
     "tok_counts": query(TF, "SELECT doc_id, term, n FROM counted"),
@@ -345,6 +378,8 @@ ORACLES = {
         "SELECT doc_id, pos, term, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS doc_len FROM tagged WHERE noun",
     ),
     "first_rows": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100000",
+    "first_tenth": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id * 1000 + turn"
+    " LIMIT (SELECT count(*) // 10 FROM conversations)",
     "tf": query(TF, "SELECT doc_id, term, round(tf, 6) AS tf FROM tf"),
     "df": query(TF, "SELECT term, df FROM dfs"),
     "corpus_stats": query(
@@ -428,6 +463,10 @@ ORACLES = {
     ),
     "bisect_documents": bisect(DOCS, "i2"),
     "bisect_parent": bisect(EMBEDDINGS, "i2", "parent_s"),
+    "bisect_ties": bisect(SOURCES, "i2", clusters=12),
+    "bisect_exhausted": bisect(LANGUAGES, "h1", clusters=8),
+    "tree_documents": tree_report(DOCS, "i2"),
+    "tree_embeddings": tree_nodes(EMBEDDINGS, "h1"),
     "cluster_report": query(
         tfidf(ALL)
         + ROOT[:1]

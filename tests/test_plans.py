@@ -9,6 +9,7 @@ from textgrove import queries
 from textgrove.operators import kmeans as km
 from textgrove.operators import report, weights
 from textgrove.operators.tokens import tokenize
+from textgrove.workspace import BROADCAST_LIMIT_CONF, Workspace
 
 
 def plan(df) -> str:
@@ -99,3 +100,24 @@ def test_queries_use_no_cross_join(spark, name):
 def test_every_query_has_a_distinct_name_and_callable(spark):
     assert len(queries.QUERIES) >= 60
     assert all(callable(f) for f in queries.QUERIES.values())
+
+
+def test_weights_stay_where_centres_go_block_by_block(spark, space, monkeypatch):
+    plans = []
+    keep = Workspace.write_bucketed
+
+    def noted(self, df, name, *rest):
+        if name.startswith("dots_"):
+            plans.append(plan(df))
+        return keep(self, df, name, *rest)
+
+    whole = km.split_nodes(space, space.docs, label="whole").assigned
+    monkeypatch.setattr(Workspace, "write_bucketed", noted)
+    spark.conf.set(BROADCAST_LIMIT_CONF, "4000")
+    try:
+        parts = km.split_nodes(space, space.docs, label="parts").assigned
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)
+    assert len(plans) > 6 and not any(shuffles(p) for p in plans)
+    rows = lambda t: sorted((r.doc_id, r.k_0, r.k_1, round(r.s_0, 9), round(r.s_1, 9)) for r in t.collect())
+    assert rows(parts) == rows(whole)

@@ -87,7 +87,13 @@ def test_keep_tagged_recounts_length(spark):
 
 
 def test_cap_rows(spark):
-    assert [r.id for r in tk.cap_rows(spark.range(10), "id", 3).collect()] == [0, 1, 2]
+    assert sorted(r.id for r in tk.cap_rows(spark.range(10), "id", 3).collect()) == [0, 1, 2]
+    assert tk.cap_rows(spark.range(10), "id", 30).count() == 10
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([2, None, 1, 2, 2, None, 1, 3, 2])], "k int, i int")
+    for n, kept in ((0, []), (1, [0]), (2, [0, 0]), (3, [0, 0, 1]), (6, [0, 0, 1, 1, 2, 2]), (8, [0, 0, 1, 1, 2, 2, 2, 2])):
+        found = tk.cap_rows(rows, "k", n)
+        assert sorted(r.k or 0 for r in found.collect()) == kept
+        assert "TakeOrderedAndProject" not in found._jdf.queryExecution().toString()
 
 
 def test_band_is_strict_on_both_ends(spark):

@@ -31,16 +31,17 @@ from textgrove.workspace import ROWS_PER_BUCKET, broadcast_limit, local_table, r
 # Sources of less than one full bucket are cheaper to read whole than to write again.
 SHRINK = 4
 SHRINK_MIN_ROWS = ROWS_PER_BUCKET
-# Node ids double at every level and are BIGINT.
-MAX_DEPTH = 62
 K = 2
+# A node's number doubles at every level. Nodes whose number needs more bits than a BIGINT holds are
+# stored under negative ids, handed out one after the other.
+NUMBER_BITS = 62
 
 
 @dataclass
 class Node:
     """Driver-side record of one tree node."""
 
-    node: int
+    node: int  # id in the tables
     seq: int  # order of creation, breaks ties first in first out
     n: int
     split: Split  # where the node's own two sides are stored
@@ -138,6 +139,9 @@ class _Grower:
         self.seed = seed
         self.unsplit = unsplit
         self.round = 0
+        self.children: dict[int, list[int]] = {}  # node -> ids of its children
+        self.parents: dict[int, int] = {}
+        self.numbers: dict[int, int] = {}  # ids below zero -> number of the node in the tree
         self.label = f"bisect{len(space.work.tables)}"
         # (space, nodes whose documents it holds).
         self.sources: list[tuple[Space, set[int]]] = [(space, {ROOT})]
@@ -161,12 +165,25 @@ class _Grower:
 
     def expand(self, nodes: list[Node]) -> None:
         """Materialise the children of ``nodes`` and score a split of each child."""
-        parents = {n.node: n for n in nodes}
-        ids = [K * n.node + j for n in nodes for j in range(K)]
-        children = self._split(self.members(nodes, children=True), ids, self.restarts, parents)
+        parents = {c: n for n in nodes for c in self.below(n.node)}
+        live = self.members(nodes, children=True)
+        children = self._split(live, list(parents), self.restarts, parents)
         by_id = {c.node: c for c in children}
         for n in nodes:
-            n.children = [by_id[K * n.node + j] for j in range(K)]
+            n.children = [by_id[c] for c in self.below(n.node)]
+
+    def below(self, node: int) -> list[int]:
+        """Ids of the children of ``node``."""
+        if node not in self.children:
+            number = self.numbers.get(node, node)
+            ids = [K * number + j for j in range(K)]
+            if ids[-1].bit_length() > NUMBER_BITS:
+                deep = {-len(self.numbers) - 1 - j: i for j, i in enumerate(ids)}
+                self.numbers.update(deep)
+                ids = list(deep)
+            self.children[node] = ids
+            self.parents.update(dict.fromkeys(ids, node))
+        return self.children[node]
 
     def members(self, nodes: list[Node], children: bool) -> DataFrame:
         """``(doc_id, node)`` of the given nodes, or of the children they split into."""
@@ -183,7 +200,12 @@ class _Grower:
                         side = F.when(chosen, F.col(f"k_{r}"))
                     else:
                         side = side.when(chosen, F.col(f"k_{r}"))
-                node = (node * K + side).cast("long")
+                number = (node * K + side).cast("long")
+                for n in here:
+                    ids = self.below(n.node)
+                    if ids[0] < 0:
+                        number = F.when(node == n.node, F.lit(ids[0]) - side).otherwise(number)
+                node = number.cast("long")
             parts.append(rows.select("doc_id", node.alias("node")))
         return reduce(DataFrame.unionByName, parts)
 
@@ -193,7 +215,7 @@ class _Grower:
         When the round needs only a small part of it, that part is written as a new table first:
         every pass of this round and of the rounds below it then reads that much less.
         """
-        whole = [s for s, held in self.sources if all(_within(i, held) for i in ids)]
+        whole = [s for s, held in self.sources if all(self._within(i, held) for i in ids)]
         space = min(whole, key=lambda s: s.num_doc)
         if space.rows < SHRINK_MIN_ROWS or docs * SHRINK >= space.num_doc:
             return space
@@ -202,9 +224,16 @@ class _Grower:
         self.sources.append((small, set(ids)))
         return small
 
+    def _within(self, node: int | None, roots: set[int]) -> bool:
+        """Whether ``node`` is one of ``roots`` or lies below one."""
+        while node is not None and node not in roots:
+            node = self.parents.get(node)
+        return node is not None
+
     def _split(self, live, ids, restarts, parents) -> list[Node]:
         self.round += 1
-        docs = sum(n for p in parents.values() for n in p.sides) if parents else self.space.num_doc
+        above = {p.node: p for p in parents.values()}
+        docs = sum(n for p in above.values() for n in p.sides) if parents else self.space.num_doc
         split = split_nodes(
             self.source(live, ids, docs),
             live,
@@ -215,15 +244,14 @@ class _Grower:
             self.seed,
             self.eps,
             f"{self.label}_{self.round}",
+            {i: self.numbers[i] for i in ids if i in self.numbers},
         )
         rows = split.stats.collect()
-        return [self._node(row, split, restarts, parents.get(row.node // K)) for row in rows]
+        return [self._node(row, split, restarts, parents.get(row.node)) for row in rows]
 
     def _node(self, row, split: Split, restarts: int, parent: Node | None) -> Node:
         best, score = rank_restarts(row, self.criterion, K, restarts)[0]
         unsplit = self._unsplit(row, parent)
-        if row.node.bit_length() > MAX_DEPTH:
-            score = None
         worth = None
         if score is not None and unsplit is not None:
             worth = gain(self.criterion, score, unsplit)
@@ -246,7 +274,7 @@ class _Grower:
         )
 
     def _unsplit(self, row, parent: Node | None) -> float | None:
-        side = row.node % K
+        side = self.below(parent.node).index(row.node) if parent else None
         if parent is None and self.criterion in ("e1", "h1", "h2"):
             return None  # no parent split to take the centre from
         if parent is not None and self.unsplit == "parent":
@@ -268,19 +296,11 @@ class _Grower:
             return (-node.n, node.seq)
         if node.gain is None:
             return (float("-inf"), node.seq)
-        worth = round(node.gain, 12)
+        # To nine digits, so that the order in which partitions were summed decides no tie.
+        worth = float(f"{round(node.gain, 12):.9g}")
         return (worth if self.criterion == "e1" else -worth, node.seq)
 
 
-def _within(node: int, roots: set[int]) -> bool:
-    """Whether ``node`` is one of ``roots`` or lies below one."""
-    while node >= ROOT:
-        if node in roots:
-            return True
-        node //= K
-    return False
-
-
 def _result(space, grower, root, leaves, done, criterion) -> Bisection:
     spark = space.work.spark
     members = grower.members(leaves, children=False)

@@ -24,8 +24,10 @@ from textgrove.operators.criteria import (
 from textgrove.workspace import (
     Workspace,
     broadcast_if_bounded,
+    broadcast_limit,
     bucket_count,
     local_table,
+    row_bytes,
 )
 
 # Similarities closer than this (relative) count as equal, so ties do not depend on the order
@@ -68,10 +70,14 @@ class Space:
         return replace(self, table=table, num_doc=num_doc, buckets=buckets, rows=rows)
 
 
-def prepare(weights: DataFrame, rows: int | None = None, work: Workspace | None = None) -> Space:
+def prepare(
+    weights: DataFrame, rows: int | None = None, work: Workspace | None = None, basis: int | None = None
+) -> Space:
     """Write ``weights`` bucketed by document with the vector length on every row.
 
     ``rows`` is the known row count (it sets the bucket count); without it the rows are counted.
+    ``basis`` is the number of documents by which the global centroid divides, where that is not the number
+    of documents with weights, as with document counts from before a vocabulary filter.
     """
     work = work or Workspace(weights.sparkSession)
     if rows is None:
@@ -84,7 +90,7 @@ def prepare(weights: DataFrame, rows: int | None = None, work: Workspace | None
     roots = table.groupBy("doc_id").agg(F.expr(f"{ROOT}L AS node"), F.max("norm").alias("norm"))
     docs = work.write_bucketed(roots, "docs", "doc_id", buckets, ["doc_id"])
     num_doc = docs.count()
-    mean = table.groupBy("term_id").agg(F.expr(f"sum(w) / {num_doc} AS g"))
+    mean = table.groupBy("term_id").agg(F.expr(f"sum(w) / {num_doc if basis is None else basis} AS g"))
     centre = work.write(mean, "centre")
     num_term, square = centre.agg(F.expr("count(1)"), F.expr("coalesce(sum(g * g), 0D)")).first()
     count_rows = docs.selectExpr("doc_id", f"{COUNT} AS term_id", "1D AS w", "norm")
@@ -106,24 +112,34 @@ def exprs(template: str, restarts: int, k: int) -> list[Column]:
 # --- seeds -----------------------------------------------------------------------------------
 
 
-def pick_seeds(live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
+def pick_seeds(
+    live: DataFrame, k: int, restarts: int, seed: int, numbers: dict[int, int] | None = None
+) -> DataFrame:
     """``(node, restart, k, doc_id)``: the K documents with the smallest seeded digest.
 
+    ``numbers`` gives the numbers that nodes have in the digest, where they differ from their ids.
+
     The rank limit is pushed below the exchange, so each task forwards at most K rows per node
     and restart.
     """
+    name = "CAST(node AS STRING)"
+    if numbers:
+        cases = " ".join(f"WHEN {i}L THEN '{number}'" for i, number in numbers.items())
+        name = f"CASE node {cases} ELSE {name} END"
     digests = live.selectExpr(
         "doc_id", "node", f"explode(sequence(0, {restarts - 1})) AS restart"
-    ).withColumn("digest", F.expr(f"md5(concat_ws(':', '{seed}', restart, node, doc_id))"))
+    ).withColumn("digest", F.expr(f"md5(concat_ws(':', '{seed}', restart, {name}, doc_id))"))
     rank = "row_number() OVER (PARTITION BY node, restart ORDER BY digest, doc_id) AS rank"
     # The limit is pushed below the exchange only if it tests the bare row number.
     first = digests.selectExpr("*", rank).where(f"rank <= {k}")
     return first.selectExpr("node", "restart", "rank - 1 AS k", "doc_id")
 
 
-def _seed_sums(space: Space, live: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
+def _seed_sums(
+    space: Space, live: DataFrame, k: int, restarts: int, seed: int, numbers: dict[int, int] | None
+) -> DataFrame:
     # At most nodes * restarts * k ids: few enough to prune buckets and row groups with.
-    chosen = pick_seeds(live, k, restarts, seed).collect()
+    chosen = pick_seeds(live, k, restarts, seed, numbers).collect()
     ids = sorted({row.doc_id for row in chosen})
     columns = {
         "doc_id": pa.array([row.doc_id for row in chosen]),
@@ -220,16 +236,17 @@ def score_docs(
     wide = centres.sums.where(f"term_id <> {COUNT}").select(
         "node", "term_id", *[f"x_{r}_{j}" for r, j in pairs]
     )
-    small = broadcast_if_bounded(wide, centres.rows)
     data = space.table.join(live.select("doc_id", "node").hint("shuffle_hash"), "doc_id")
-    dots = (
-        data.join(small, ["node", "term_id"], "left")
-        .groupBy("doc_id", "node")
-        .agg(
-            F.expr("max(norm) AS norm"),
-            *exprs("coalesce(sum(w * x_{r}_{j}), 0D) AS d_{r}_{j}", restarts, k),
-        )
-    )
+    names = [f"d_{r}_{j}" for r, j in pairs]
+    sums = exprs("sum(w * x_{r}_{j}) AS d_{r}_{j}", restarts, k)
+    size, limit = row_bytes(len(wide.columns)), broadcast_limit(space.work.spark)
+    if centres.rows * size <= limit or limit < size:  # below one row nothing may be broadcast at all
+        small = F.broadcast(wide) if centres.rows * size <= limit else wide
+        joined = data.join(small, ["node", "term_id"], "left").groupBy("doc_id", "node")
+        dots = joined.agg(F.expr("max(norm) AS norm"), *sums)
+    else:
+        dots = _blocked_dots(space, data, wide, centres.rows, sums, names)
+    dots = dots.fillna(0.0, names)
     values = dots.join(centres.local(space, restarts, k), "node").selectExpr(
         "doc_id",
         "node",
@@ -245,6 +262,36 @@ def score_docs(
     return values.selectExpr("doc_id", "node", *output)
 
 
+def _blocked_dots(
+    space: Space, data: DataFrame, wide: DataFrame, rows: int, sums: list[Column], names: list[str]
+) -> DataFrame:
+    """``(doc_id, node, norm, d…)`` with centres too large to broadcast whole.
+
+    The centre rows are dealt by node and term into blocks that each stay below the limit, by their exact
+    sizes. Block after block is broadcast and gives every document a part of its inner products,
+    which is stored in the document's bucket. Weights never move; parts add up without an exchange.
+    """
+    work, limit = space.work, broadcast_limit(space.work.spark)
+    most = max(1, limit // row_bytes(len(wide.columns)))
+    blocks = -(-rows // most)
+    while True:
+        block = F.pmod(F.xxhash64("node", "term_id"), F.lit(blocks))
+        largest = wide.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if largest <= most or blocks >= rows:
+            break
+        blocks += -(-blocks // 4)
+    name = f"dots_{len(work.tables)}"
+    whole = data.groupBy("doc_id", "node").agg(F.expr("max(norm) AS norm"))
+    whole = whole.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
+    parts = work.write_bucketed(whole, name, "doc_id", space.buckets, ["doc_id"])
+    for b in range(blocks):
+        near = F.broadcast(wide.where(block == b))
+        part = data.where(block == b).join(near, ["node", "term_id"]).groupBy("doc_id", "node")
+        part = part.agg(F.lit(None).cast("double").alias("norm"), *sums)
+        parts = work.write_bucketed(part, name, "doc_id", space.buckets, ["doc_id"])
+    return parts.groupBy("doc_id", "node").agg(F.max("norm").alias("norm"), *[F.sum(n).alias(n) for n in names])
+
+
 def _sum_sides(space: Space, assigned: DataFrame, restarts: int, k: int) -> DataFrame:
     """``(node, term_id, t, u, q, x_r_j…)``: summed vectors per restart and side.
 
@@ -352,6 +399,7 @@ def split_nodes(
     seed: int = 7,
     eps: float | None = 0.0,
     label: str = "split",
+    numbers: dict[int, int] | None = None,
 ) -> Split:
     """K-means with restarts inside every tree node of ``live(doc_id, node)``.
 
@@ -363,7 +411,7 @@ def split_nodes(
         raise ValueError("unlimited iterations need eps")
     work = space.work
     watch = eps is not None
-    seeded = work.write(_seed_sums(space, live, k, restarts, seed), f"{label}_seeds")
+    seeded = work.write(_seed_sums(space, live, k, restarts, seed, numbers), f"{label}_seeds")
     centres = before = _measure(seeded, restarts, k)
     converged: dict[tuple[int, int], int] = {}
     step = 0

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textgrove.functions.text import WORD_PATTERN, split_words, words
+from textgrove.sources.numbering import number_rows
+from textgrove.workspace import Workspace
 
 # The six noun tags kept by default, and the wider tag set.
 NOUN_TAGS = ["Ng", "n", "nr", "ns", "nt", "nz"]
@@ -55,6 +57,27 @@ def keep_tagged(tokens: DataFrame, lexicon: DataFrame, tags: list[str] = NOUN_TA
     )
 
 
-def cap_rows(df: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
-    """The first ``rows`` rows in key order (the ingest limit; an option, off by default)."""
-    return df.orderBy(key).limit(rows)
+def cap_rows(df: DataFrame, key: str, rows: int, work: Workspace | None = None) -> DataFrame:
+    """The first ``rows`` rows in key order (the ingest limit).
+
+    Only keys are sorted, range by range; the counts of the ranges place the key of the last row, and the rows
+    up to it are a filter on ``df``. Among rows with that key those with the smallest hash of the
+    whole row stay, so that no task ever gathers the first rows.
+    """
+    work = work or Workspace(df.sparkSession)
+    if rows <= 0:
+        return df.limit(0)
+    keys = number_rows(df.select(F.col(key).alias("key")), ["key"], "place", work)
+    last = keys.where(F.col("place") == rows).first()
+    if last is None:
+        return df
+    # Nulls come first, as in any ascending order.
+    below = F.col(key) < F.lit(last.key) if last.key is not None else F.lit(False)
+    before = below if last.key is None else below | F.col(key).isNull()
+    rest = rows - keys.where(F.col("key") < F.lit(last.key) if last.key is not None else F.lit(False)).count()
+    if last.key is not None:
+        rest -= keys.where("key IS NULL").count()
+    same = df.where(F.col(key).eqNullSafe(F.lit(last.key)))
+    tied = same.select(F.xxhash64(*same.columns).alias("tie"), F.struct(*same.columns).alias("row"))
+    kept = number_rows(tied, ["tie"], "tied", work).where(F.col("tied") <= rest).select("row.*")
+    return df.where(before).unionByName(kept)

@@ -10,7 +10,7 @@ from textgrove.operators import report as reports
 from textgrove.operators.bisect import Bisection, bisect
 from textgrove.operators.kmeans import Space, prepare
 from textgrove.operators.tokens import tokenize
-from textgrove.operators.weights import band, doc_freq, term_freq, tfidf, vocabulary
+from textgrove.operators.weights import band, count_docs, doc_freq, term_freq, tfidf, vocabulary
 from textgrove.sources import sinks
 from textgrove.workspace import Workspace, broadcast_if_bounded
 
@@ -25,9 +25,10 @@ class Corpus:
     num_term: int
     weights: DataFrame
     rows: int  # rows of ``weights``: every term has one per document
+    basis: int | None = None  # documents before the vocabulary filter, where weights count those
 
     def space(self) -> Space:
-        return prepare(self.weights, self.rows, self.work)
+        return prepare(self.weights, self.rows, self.work, self.basis)
 
 
 def corpus(
@@ -50,7 +51,8 @@ def corpus(
     vocab = work.write(vocabulary(kept, work), "vocab")
     num_term, rows = vocab.selectExpr("count(1)", "coalesce(sum(df), 0)").first()
     weights = tfidf(tf, broadcast_if_bounded(vocab, num_term), n_basis, idf)
-    return Corpus(work, tf, vocab, num_term, weights, rows)
+    basis = count_docs(tf).first()[0] if n_basis == "pre" else None
+    return Corpus(work, tf, vocab, num_term, weights, rows, basis)
 
 
 def document_corpus(

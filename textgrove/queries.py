@@ -19,8 +19,7 @@ from textgrove.plans.words import word_space
 from textgrove.sources import readers, sinks
 from textgrove.sources.numbering import number_rows
 
-CLUSTERS = 4  # clusters of the bisection queries that have an SQL counterpart
-FULL_TREE = 20  # the default cluster count
+CLUSTERS = 20  # fixed value: default number of clusters
 SEED = 7
 # Suffix rules standing in for a lexicon of tagged terms.
 NOUN_SUFFIX = "(tion|ment|ness|heit|ung|dad)$"
@@ -84,7 +83,13 @@ def tokens_tagged(spark, sf):
 
 
 def first_rows(spark, sf):
-    return tokens.cap_rows(table(spark, sf, "documents"), "doc_id").select("doc_id", "lang")
+    return tokens.cap_rows(table(spark, sf, "documents"), "doc_id", 100_000).select("doc_id", "lang")
+
+
+def first_tenth(spark, sf):
+    """The ingest cap where it binds: a tenth of the turns, whole conversations but for the last."""
+    turns = table(spark, sf, "conversations").withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
+    return tokens.cap_rows(turns, "at", turns.count() // 10).select("conv_id", "turn", "role")
 
 
 def tf(spark, sf):
@@ -370,14 +375,35 @@ def bisect_documents(spark, sf):
     return _members(bisect(_document_space(spark, sf), CLUSTERS, "i2", seed=SEED))
 
 
+def _one_coordinate(spark, sf, term_id):
+    """Documents as unit vectors along one coordinate each: many equal gains, few ways to split."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", term_id.cast("int").alias("term_id"), F.lit(1.0).alias("w"))
+
+
+def bisect_ties(spark, sf):
+    """By source: leaves with equally many sources of equal size have equal gains."""
+    weights = _one_coordinate(spark, sf, F.expr("substring(source, 4)"))
+    return _members(bisect(km.prepare(weights), 12, "i2", seed=SEED))
+
+
+def bisect_exhausted(spark, sf):
+    """By language: no leaf can be split any more before there are as many clusters as asked for."""
+    weights = _one_coordinate(spark, sf, F.expr("ascii(substring(lang, 2))"))
+    return _members(bisect(km.prepare(weights), 8, "h1", seed=SEED))
+
+
 def tree_documents(spark, sf):
     """The full default run on the unfiltered vocabulary: the report of 20 clusters."""
     space = _corpus(spark, sf).space()
-    return bisect(space, FULL_TREE, "i2", seed=SEED).report
+    report = bisect(space, CLUSTERS, "i2", seed=SEED).report
+    return report.select("cluster", "node", "n", *[r6(c).alias(c) for c in ("gain", "cohesion", "sse")])
 
 
 def tree_embeddings(spark, sf):
-    return bisect(_embedding_space(spark, sf), FULL_TREE, "h1", seed=SEED).tree
+    """Every node of a tree of 20 clusters, in the order of its splits."""
+    tree = bisect(_embedding_space(spark, sf), CLUSTERS, "h1", seed=SEED).tree
+    return tree.select("node", "parent", "split_order", "n", r6("gain").alias("gain"), "cluster")
 
 
 # --- reports ---------------------------------------------------------------------------------
@@ -526,13 +552,13 @@ def word_clusters(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tok_counts, word_lists, tokens_tagged, first_rows, tf, df, corpus_stats, corpus_counts,
+        tok_counts, word_lists, tokens_tagged, first_rows, first_tenth, tf, df, corpus_stats, corpus_counts,
         band_vocab, band_bounds, idf_smooth, idf_legacy, tfidf_pre, tfidf_post, tfidf_legacy,
         raw_weights, global_centroid, doc_norms, doc_vectors, dense_vectors, vector_functions,
         vector_sums, topic_rows, line_numbers, valid_lines, rejected_lines, ingested,
         assign_cosine, assign_euclid, kmeans_cosine, kmeans_euclid, kmeans_kway,
         kmeans_kway_cosine, kmeans_scores, kmeans_centres, separation, bisect_documents,
-        tree_documents, tree_embeddings, cluster_report, cluster_vectors, cluster_terms,
+        bisect_ties, bisect_exhausted, tree_documents, tree_embeddings, cluster_report, cluster_vectors, cluster_terms,
         cluster_samples, cluster_samples_latest, cluster_members, contingency, contingency_grid,
         marginals, nmi, nmi_mixed, nmi_clusters, cooccurrence, cooccurrence_turns, word_vectors,
         word_clusters,
