@@ -89,6 +89,7 @@ ROOT = [
 ]
 
 
+NINE = "CAST(format('{{:.9g}}', round({}, 12)) AS DOUBLE)"  # nine digits of a column
 CLUSTERS = 20  # fixed value: default number of clusters
 
 
@@ -183,7 +184,7 @@ def evaluated(
 ) -> list[str]:
     """``{tag}_best``: chosen restart and score; ``{tag}_node``: one row per node with its gain."""
     metric = "euclid" if criterion == "sse" else "cosine"
-    order = "score" if criterion in ("sse", "e1") else "score DESC"
+    order = NINE.format("score") + ("" if criterion in ("sse", "e1") else " DESC")
     if parent is None:
         parent_e = "SELECT node, CAST(NULL AS DOUBLE) AS parent_e, CAST(NULL AS DOUBLE) AS parent_s FROM " + live + " LIMIT 1"
     else:
@@ -224,7 +225,7 @@ def grown(weights: list[str], criterion: str, clusters: int, unsplit: str | None
     if criterion == "largest":
         pick, where = "n DESC, step, node", "NOT empty"
     else:
-        pick = "CAST(format('{:.9g}', round(gain, 12)) AS DOUBLE)" + ("" if criterion == "e1" else " DESC") + ", step, node"
+        pick = NINE.format("gain") + ("" if criterion == "e1" else " DESC") + ", step, node"
         where = "gain IS NOT NULL" + (" AND gain >= 0" if criterion == "i1" else "")
     ctes = weights + ROOT + evaluated("t1", "root", criterion, None)
     ctes += [
@@ -288,7 +289,7 @@ def tree_nodes(weights: list[str], criterion: str) -> str:
 
 def best_assign(weights: list[str], k: int, restarts: int, metric: str, iterations: int) -> list[str]:
     """``result(doc_id, k, s)``: the best restart of direct K-means."""
-    order = "score DESC" if metric == "cosine" else "score"
+    order = NINE.format("score") + (" DESC" if metric == "cosine" else "")
     return (
         weights
         + ROOT

@@ -494,9 +494,10 @@ def rank_restarts(row, criterion: str, k: int, restarts: int) -> list[tuple[int,
             score = split_score(criterion, S, E, row["n"])
         except ZeroDivisionError:
             score = None
-        key = float("inf") if score is None else score
+        # To nine digits, so that the order in which partitions were summed decides no tie.
+        key = float("inf") if score is None else float(f"{round(score, 12):.9g}")
         if score is not None and not smaller_is_better(criterion):
-            key = -score
+            key = -key
         ranked.append(((empty, key, r), r, None if empty else score))
     return [(r, score) for _, r, score in sorted(ranked)]
 
