@@ -44,7 +44,7 @@ def _distinct_lines(lines: DataFrame) -> DataFrame:
     return grouped.repartition("line")
 
 
-def _line_pairs(lines: DataFrame) -> DataFrame:
+def _line_pairs(lines: DataFrame, work: Workspace) -> DataFrame:
     """Whole-line part: ``(w1, w2, n)`` with ``w1 <= w2``."""
     blocks = F.ceil(F.size(F.array_distinct("words")) / BLOCK).cast("int")
     counts = (
@@ -53,16 +53,25 @@ def _line_pairs(lines: DataFrame) -> DataFrame:
         .groupBy("line", "m", "blocks", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    block = F.expr("pmod(xxhash64(term), blocks)")
-    packed = counts.groupBy("line", "m", block.alias("block")).agg(
+    block = F.expr("pmod(xxhash64(term), blocks)").cast("long")
+    packed = counts.groupBy("line", "m", "blocks", block.alias("block")).agg(
         F.collect_list(F.struct("term", "n")).alias("terms")
     )
-    left = packed.select("line", "m", F.col("block").alias("ba"), F.col("terms").alias("ta"))
-    right = packed.select("line", F.col("block").alias("bb"), F.col("terms").alias("tb"))
-    # A row per pair of blocks, spread over all tasks before the pairs are formed. The number of
-    # tasks is fixed because these rows are small but grow by a factor of BLOCK.
+    packed = work.write(packed, "blocks")
+    # Pairs of block numbers first, a row each, dealt over all tasks in two steps; the words of both
+    # blocks are attached after that, so no task holds the pairs of a line. The number of tasks is
+    # fixed because these rows are small but grow by a factor of BLOCK.
     tasks = shuffle_tasks(lines.sparkSession)
-    steps = left.join(right, "line").where("ba <= bb").repartition(tasks, "line", "ba", "bb")
+    left = packed.select("line", "m", "blocks", F.col("block").alias("ba"))
+    many = left.where("blocks > 1").repartition(tasks, "line", "ba")
+    number = F.explode(F.sequence(F.col("ba"), F.col("blocks").cast("long") - 1)).alias("bb")
+    ids = many.select("line", "m", "ba", number).repartition(tasks, "line", "ba", "bb")
+    one = packed.select("line", F.col("block").alias("ba"), F.col("terms").alias("ta"))
+    other = packed.select("line", F.col("block").alias("bb"), F.col("terms").alias("tb"))
+    steps = ids.join(one, ["line", "ba"]).join(other, ["line", "bb"]).repartition(tasks, "line", "ba", "bb")
+    short = packed.where("blocks = 1").select("line", "m", "block", "terms").repartition(tasks, "line")
+    short = short.select(F.col("block").alias("ba"), F.col("block").alias("bb"), "m", F.col("terms").alias("ta"), F.col("terms").alias("tb"))
+    steps = steps.select("ba", "bb", "m", "ta", "tb").unionByName(short)
     pairs = (
         steps.select("m", (F.col("ba") == F.col("bb")).alias("same"), "tb", F.explode("ta").alias("a"))
         .select("m", "same", "a", F.explode("tb").alias("b"))
@@ -101,10 +110,11 @@ def _window_pairs(lines: DataFrame, window: int) -> DataFrame:
     return segments.selectExpr("m", pairs).selectExpr("pair.w1", "pair.w2", "pair.n * m AS n")
 
 
-def cooccurrence(lines: DataFrame, window: int = WINDOW) -> DataFrame:
+def cooccurrence(lines: DataFrame, window: int = WINDOW, work: Workspace | None = None) -> DataFrame:
     """``cooc(w1, w2, n)`` from ``lines(doc_id, words)``, both orders of every pair."""
-    distinct = _distinct_lines(lines.select("doc_id", "words"))
-    pairs = _line_pairs(distinct).unionByName(_window_pairs(distinct, window))
+    work = work or Workspace(lines.sparkSession)
+    distinct = work.write(_distinct_lines(lines.select("doc_id", "words")), "distinct_lines")
+    pairs = _line_pairs(distinct, work).unionByName(_window_pairs(distinct, window))
     # Partial sums merge each task's repeats before the exchange.
     half = pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
     both = F.expr(
