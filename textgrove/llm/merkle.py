@@ -148,14 +148,15 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str = "leaf", arit
 
 
 def audited(rows: DataFrame, columns: list[str], tampered: dict[str, Column], where: Column, group: str, order: str) -> DataFrame:
-    """``rows`` with leaf, subroot, root, proof_sha256 and the check of a copy of the table against its manifest.
+    """``order``, ``group``, leaf, subroot, root, proof_sha256 and the check of a copy of ``rows`` against their manifest.
 
     The manifest is that of ``rows``; the copy differs in the columns ``tampered`` in the rows ``where`` (null:
     not). ``folded_root`` is what the copy's leaf and the manifest's siblings give, ``verified`` whether that is the root.
     """
     changed = [tampered.get(c, F.col(c)) for c in columns]
     copy = f"copy_{uuid.uuid4().hex}"
-    rows = rows.withColumn("leaf", leaf(*columns)).withColumn(copy, F.when(where, leaf(*changed)))
+    # Only digests and what places them move, not the texts.
+    rows = rows.select(order, group, leaf(*columns).alias("leaf"), F.when(where, leaf(*changed)).alias(copy))
     found = manifest(rows, group, order)
     found = found.withColumn("proof_sha256", proof_digest())
     found = found.withColumn("folded_root", fold(F.coalesce(copy, "leaf"))).drop("path", copy)
