@@ -38,7 +38,7 @@ WORDS = 5
 THRESHOLDS = (8, 256)  # texts from which a token is of class 2, 3
 LISTED = 4_000_000  # frequent tokens that are sent to the tasks; beyond, the thresholds double
 COUNTED = 1 << 20  # tokens a task counts at a time
-RANGE_BYTES = 32 * 1024 * 1024  # of text whose tokens one task adds up
+RANGE_BYTES = 8 * 1024 * 1024  # of text whose tokens one task adds up
 SHORT = 24  # low bits of a token that counting leaves out
 PIECE = 1 << 20  # bytes of text whose words are hashed at once
 REMEMBERED = 100_000  # sets
