@@ -362,6 +362,10 @@ TURN_LINE = (
     " || chr(9) || text AS line FROM conversations)"
 )
 DOCS = tfidf(ALL)
+TURN_WORDS = (
+    r"lists AS MATERIALIZED (SELECT concat(conv_id, '-', turn) AS doc_id, regexp_extract_all(lower(text), '\p{L}+') AS words"
+    " FROM conversations)"
+)
 # One coordinate per document: its source or language.
 SOURCES = ["weights AS MATERIALIZED (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS term_id, CAST(1 AS DOUBLE) AS w FROM documents)"]
 LANGUAGES = ["weights AS MATERIALIZED (SELECT doc_id, ascii(substr(lang, 2)) AS term_id, CAST(1 AS DOUBLE) AS w FROM documents)"]
@@ -547,7 +551,30 @@ ORACLES = {
         WORDS + ROOT[:1], "SELECT doc_id, term_id, w, round(norm, 6) AS norm FROM weights JOIN norms USING (doc_id)"
     ),
     "word_clusters": bisect(WORDS, "i2"),
+    "stored_tokens": query(TF, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, term, doc_len, n FROM counted"),
+    "stored_matrix": query(
+        [TURN_WORDS, *tfidf(BAND)[1:]],
+        "SELECT term_id, count_if(w <> 0) AS docs, round(sum(w), 6) AS w, (SELECT concat(count(DISTINCT doc_id), ' ',"
+        " (SELECT count(*) FROM vocab)) FROM weights) AS header FROM weights GROUP BY term_id",
+    ),
+    "stored_score": nmi(
+        cells("SELECT doc_id, quality + 1 AS cluster FROM labels", "SELECT doc_id, toxic + 1 AS label FROM labels"),
+        "ln(2)",
+    ),
+    "stored_classes": query(
+        best_assign(DOCS, 2, 2, "cosine", 2),
+        "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(k AS INTEGER) AS cluster, CAST(count(*) AS INTEGER) AS terms"
+        " FROM result JOIN weights USING (doc_id) GROUP BY doc_id, k",
+    ),
+    "stored_summary": query(
+        best_assign(DOCS, 2, 2, "cosine", 2),
+        "SELECT CAST(s.k AS INTEGER) AS cluster, s.n, s.n AS members, round(s.S, 6) AS score, round(c.w, 6) AS w,"
+        " (SELECT count(*) FROM norms) AS num_doc, (SELECT count(*) FROM vocab) AS num_term FROM t_side s"
+        " JOIN (SELECT restart, k, sum(w) AS w FROM t_c GROUP BY restart, k) c ON c.restart = s.restart AND c.k = s.k"
+        " WHERE s.restart IN (SELECT restart FROM pick)",
+    ),
 }
+ORACLES["stored_cells"] = ORACLES["contingency_grid"]
 for _criterion in ("i1", "i2", "e1", "h1", "h2", "sse"):
     ORACLES[f"split_{_criterion}"] = split_query(_criterion)
 for _criterion in ("i1", "i2", "e1", "h1", "h2", "sse", "largest"):

@@ -76,11 +76,17 @@ def test_classes_and_labels(spark, tmp_path):
 
 
 def test_matrix_export(spark, tmp_path):
+    vectors = {1: [0, 2.5, 0, 0, 7], 2: [1, 0, 0, 0, 0], 3: [0, 0, 0, 4, 0], 4: [1, 2, 3, 4, 5], 5: [0, 0, 0, 0, -1e-9]}
+    sinks.write_matrix(weights_of(spark, vectors), 5, f"{tmp_path}/matrix")
+    assert spark.read.text(f"{tmp_path}/matrix/header").first().value == "5 5"
+    lines = [r.value.split("\t") for r in spark.read.text(f"{tmp_path}/matrix/rows").collect()]
+    assert sorted([float(x) for x in line] for line in lines) == sorted(map(list, vectors.values()))
+
+
+def test_matrix_lines_build_no_dense_arrays(spark):
     rows = weights_of(spark, {1: [0, 2.5], 2: [1, 0]})
-    sinks.write_matrix(weights.densify(rows, F.lit(2)), 2, f"{tmp_path}/matrix")
-    assert spark.read.text(f"{tmp_path}/matrix/header").first().value == "2 2"
-    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/matrix/rows").collect())
-    assert lines == ["0.0\t2.5", "1.0\t0.0"]
+    plan = weights.matrix_lines(rows, F.lit(2))._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan and "map_from_entries" not in plan
 
 
 def test_top_terms_and_samples(spark):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textgrove.plans import stored
-from textgrove.plans.documents import cluster_documents
+from textgrove.plans.documents import cluster_documents, partition_documents
 from textgrove.plans.words import cluster_words
 from textgrove.sources import readers
 
@@ -63,3 +63,20 @@ def test_word_report(spark, tmp_path):
     found = readers.read_report(spark, f"{tmp_path}/w/clusters")
     assert found["report"].agg(F.sum("n")).first()[0] == 6
     assert found["members"].count() == 6
+
+
+def test_flat_clustering_stored(spark, tmp_path):
+    rows = [(1, "tea cup tea"), (2, "tea cup"), (3, "rain cloud rain"), (4, "cloud rain"), (5, "tea tea")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    run = f"{tmp_path}/flat"
+    result, tables = partition_documents(texts, run, clusters=2, top=1, max_iter=None, restarts=3)
+    classes = {r.doc_id: r.cluster for r in readers.read_classes(spark, f"{run}/class").collect()}
+    assert classes["1"] == classes["2"] == classes["5"] != classes["3"] == classes["4"]
+    found = readers.read_report(spark, f"{run}/clusters")
+    assert sorted(r.n for r in found["report"].collect()) == [2, 3]
+    assert {(r.doc_id, r.cluster) for r in found["members"].collect()} == {(int(d), c) for d, c in classes.items()}
+    top = {r.cluster: r.term for r in spark.read.parquet(f"{run}/top_terms").collect()}
+    assert top[classes["3"]] == "rain" and top[classes["1"]] in ("tea", "cup")
+    samples = spark.read.parquet(f"{run}/samples").collect()
+    assert sorted(r.doc_id for r in samples) == [1, 3]
+    assert spark.read.parquet(f"{run}/summary/run").first().num_doc == 5

@@ -143,3 +143,19 @@ def densify(weights: DataFrame, num_term: Column) -> DataFrame:
     slots = F.sequence(F.lit(0), num_term.cast("int") - 1)
     vec = F.transform(slots, lambda t: F.coalesce(F.try_element_at("by_term", t), F.lit(0.0)))
     return packed.select("doc_id", vec.alias("vec"))
+
+
+def matrix_lines(weights: DataFrame, num_term: Column) -> DataFrame:
+    """``(doc_id, line)``: dense rows as tab-separated text, the gaps filled with zeros as the line is written.
+
+    A row in memory follows its non-zero coordinates; only the line itself is as long as the vocabulary.
+    """
+    packed = pack_sparse(weights)
+    last = F.element_at("idx", -1)
+    before = F.concat(F.array(F.lit(-1).cast("int")), F.slice("idx", 1, F.size("idx") - 1)).alias("before")
+    cells = F.transform(
+        F.arrays_zip("idx", "val", before),
+        lambda c: F.concat(F.repeat(F.lit("0.0\t"), c["idx"] - c["before"] - 1), c["val"].cast("string")),
+    )
+    rest = F.repeat(F.lit("\t0.0"), num_term.cast("int") - 1 - last)
+    return packed.select("doc_id", F.concat(F.array_join(cells, "\t"), rest).alias("line"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textgrove.operators import report as reports
 from textgrove.operators.bisect import Bisection, bisect
-from textgrove.operators.kmeans import Space, prepare
+from textgrove.operators.kmeans import KMeansResult, Space, kmeans, prepare
 from textgrove.operators.tokens import tokenize
 from textgrove.operators.weights import band, count_docs, doc_freq, term_freq, tfidf, vocabulary
 from textgrove.sources import sinks
@@ -98,3 +99,38 @@ def cluster_documents(
         sinks.write_by_cluster(tables["top_terms"], f"{path}/top_terms")
         sinks.write_by_cluster(tables["samples"], f"{path}/samples")
     return tree, tables
+
+
+def partition_documents(
+    texts: DataFrame, path: str | None = None, clusters: int = 20, top: int = 100, **options
+) -> tuple[KMeansResult, dict[str, DataFrame]]:
+    """Flat K-means of ``texts(doc_id, text)`` into ``clusters``, described like ``cluster_documents``.
+
+    Clusters are numbered from 0 and may be empty. ``options`` are those of ``corpus`` and ``kmeans``. Below
+    ``path``: the run ``summary`` with vocabulary, centres, scores of every restart, global centre and raw
+    weights, the ``class`` file, the report with packed members under ``clusters``, top terms and samples.
+    """
+    names = ("scale", "df_min", "df_max", "n_basis", "idf")
+    found = document_corpus(texts, **{k: options.pop(k) for k in names if k in options})
+    space = found.space()
+    result = kmeans(space, clusters, **options)
+    classes = found.work.write(result.assign.select("doc_id", F.col("k").alias("cluster")), "classes")
+    tables = {
+        "report": reports.cluster_cohesion(space.weights, classes),
+        "classes": classes,
+        "cluster_terms": reports.summed_vectors(space.weights, classes),
+        "top_terms": reports.cluster_terms(space.weights, classes, found.vocab, top),
+        "samples": reports.cluster_samples(classes, texts, top, clusters),
+    }
+    if path is not None:
+        raw = sinks.weight_inputs(found.tf, found.vocab)
+        sinks.write_summary(
+            texts.sparkSession, result.summary, f"{path}/summary", found.vocab, result.centres, result.scores,
+            space.centre, raw,
+        )
+        members = reports.member_vectors(space.weights, classes)
+        sinks.write_report(tables["report"], tables["cluster_terms"], members, f"{path}/clusters")
+        sinks.write_classes(classes, f"{path}/class")
+        sinks.write_by_cluster(tables["top_terms"], f"{path}/top_terms")
+        sinks.write_by_cluster(tables["samples"], f"{path}/samples")
+    return result, tables

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textgrove.operators import report as reports
 from textgrove.operators.quality import contingency, nmi
 from textgrove.operators.tokens import NOUN_TAGS, keep_tagged, tokenize
-from textgrove.operators.weights import densify
 from textgrove.plans.documents import Corpus, corpus
 from textgrove.sources import readers, sinks
 
@@ -40,8 +38,7 @@ def ingest_topic(
 def token_matrix(spark: SparkSession, tokens_path: str, path: str, **options) -> Corpus:
     """A token file as a TF-IDF matrix in text below ``path``. ``options`` are those of ``corpus``."""
     found = corpus(readers.read_token_rows(spark, tokens_path), **options)
-    vectors = densify(found.weights, F.lit(found.num_term))
-    sinks.write_matrix(vectors, found.num_term, path)
+    sinks.write_matrix(found.weights, found.num_term, path)
     return found
 
 

@@ -14,10 +14,12 @@ from textgrove.operators import kmeans as km
 from textgrove.operators import network, quality, report, tokens, weights
 from textgrove.operators.bisect import bisect
 from textgrove.operators.criteria import metric_of, split_score
-from textgrove.plans.documents import document_corpus
+from textgrove.plans import stored
+from textgrove.plans.documents import document_corpus, partition_documents
 from textgrove.plans.words import word_space
 from textgrove.sources import readers, sinks
 from textgrove.sources.numbering import number_rows
+from textgrove.workspace import Workspace
 
 CLUSTERS = 20  # fixed value: default number of clusters
 SEED = 7
@@ -549,6 +551,85 @@ def word_clusters(spark, sf):
     )
 
 
+# --- files written and read back --------------------------------------------------------------
+
+
+def stored_tokens(spark, sf):
+    """The token file of all documents, read back and counted."""
+    path = f"{Workspace(spark).root}/tokens"
+    sinks.write_tokens(_tokens(spark, sf), path, text=True)
+    rows = readers.read_token_rows(spark, path)
+    return rows.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_matrix(spark, sf):
+    """The dense matrix file made from the token file of the conversations' turns, by term."""
+    root = Workspace(spark).root
+    turns = table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"
+    )
+    sinks.write_tokens(tokens.tokenize(turns, "doc_id", "text"), f"{root}/tokens", text=True)
+    stored.token_matrix(spark, f"{root}/tokens", f"{root}/matrix", scale=weights.FILTER_SCALE)
+    header = spark.read.text(f"{root}/matrix/header").select("value").scalar()
+    lines = spark.read.text(f"{root}/matrix/rows").select(F.posexplode(F.split("value", "\t")).alias("term_id", "x"))
+    cells = lines.select("term_id", F.col("x").cast("double").alias("w")).groupBy("term_id")
+    found = cells.agg(F.count_if(F.col("w") != 0).alias("docs"), r6(F.sum("w")).alias("w"))
+    return found.withColumn("header", header)
+
+
+def _stored_score(spark, sf):
+    """The folder of a score of a class file (quality) against a label file (toxicity) on a 1..3 grid."""
+    root = Workspace(spark).root
+    both = table(spark, sf, "labels")
+    for name, column in (("class", "quality"), ("label", "toxic")):
+        sinks.write_classes(both.select("doc_id", (F.col(column) + 1).alias("cluster")), f"{root}/{name}")
+    stored.score_classes(spark, f"{root}/class", f"{root}/label", f"{root}/nmi", class_num=3)
+    return f"{root}/nmi"
+
+
+def stored_cells(spark, sf):
+    rows = spark.read.parquet(f"{_stored_score(spark, sf)}/cells")
+    return rows.select(
+        F.col("cluster").cast("long").alias("cluster"),
+        F.col("label").cast("long").alias("label"),
+        "n",
+        *[r6(c).alias(c) for c in ("p", "pxpy", "term")],
+    )
+
+
+def stored_score(spark, sf):
+    rows = spark.read.parquet(f"{_stored_score(spark, sf)}/score")
+    return rows.select("total", *[r6(c).alias(c) for c in ("mi", "hx", "hy", "nmi")])
+
+
+def _stored_partition(spark, sf):
+    """The folder of a flat clustering of the documents, everything written."""
+    path = f"{Workspace(spark).root}/run"
+    partition_documents(table(spark, sf, "documents"), path, clusters=2, max_iter=2, restarts=2, seed=SEED)
+    return path
+
+
+def stored_classes(spark, sf):
+    """The class file of a flat clustering against the members of its stored report."""
+    path = _stored_partition(spark, sf)
+    members = readers.read_report(spark, f"{path}/clusters")["members"]
+    members = members.select(F.col("doc_id").cast("string").alias("doc_id"), "cluster", F.size("idx").alias("terms"))
+    return readers.read_classes(spark, f"{path}/class").join(members, ["doc_id", "cluster"])
+
+
+def stored_summary(spark, sf):
+    """Run summary, centres and report of a flat clustering, read back per cluster."""
+    path = _stored_partition(spark, sf)
+    best = spark.read.parquet(f"{path}/summary/run").select("restart", "num_doc", "num_term")
+    scores = spark.read.parquet(f"{path}/summary/cluster_score").join(F.broadcast(best), "restart")
+    centres = spark.read.parquet(f"{path}/summary/centres").groupBy("k").agg(F.sum("w").alias("w"))
+    report_rows = readers.read_report(spark, f"{path}/clusters")["report"].withColumnRenamed("cluster", "k")
+    found = scores.join(centres, "k").join(report_rows.select("k", F.col("n").alias("members")), "k")
+    return found.select(
+        F.col("k").alias("cluster"), "n", "members", r6("score").alias("score"), r6("w").alias("w"), "num_doc", "num_term"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -561,7 +642,7 @@ QUERIES = {
         bisect_ties, bisect_exhausted, tree_documents, tree_embeddings, cluster_report, cluster_vectors, cluster_terms,
         cluster_samples, cluster_samples_latest, cluster_members, contingency, contingency_grid,
         marginals, nmi, nmi_mixed, nmi_clusters, cooccurrence, cooccurrence_turns, word_vectors,
-        word_clusters,
+        word_clusters, stored_tokens, stored_matrix, stored_cells, stored_score, stored_classes, stored_summary,
     )
 }
 for _criterion in ("i1", "i2", "e1", "h1", "h2", "sse"):

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textgrove.operators.weights import count_docs, matrix_lines
 from textgrove.workspace import local_table
 
 
@@ -80,11 +81,10 @@ def write_report(
     members.write.partitionBy("cluster").parquet(f"{path}/members")
 
 
-def write_matrix(vectors: DataFrame, num_term: int, path: str) -> None:
-    """Dense rows as text under ``rows``, the ``documents terms`` line under ``header``."""
-    line = F.concat_ws("\t", F.transform("vec", lambda x: x.cast("string")))
-    vectors.select(line.alias("value")).write.text(f"{path}/rows")
-    counts = vectors.agg(F.concat_ws(" ", F.count(F.lit(1)), F.lit(num_term)).alias("value"))
+def write_matrix(weights: DataFrame, num_term: int, path: str) -> None:
+    """Dense rows of ``weights`` as text under ``rows``, the ``documents terms`` line under ``header``."""
+    matrix_lines(weights, F.lit(num_term)).select("line").write.text(f"{path}/rows")
+    counts = count_docs(weights).select(F.concat_ws(" ", "num_doc", F.lit(num_term)).alias("value"))
     counts.write.text(f"{path}/header")
 
 
