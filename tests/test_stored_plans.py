@@ -69,7 +69,7 @@ def test_flat_clustering_stored(spark, tmp_path):
     rows = [(1, "tea cup tea"), (2, "tea cup"), (3, "rain cloud rain"), (4, "cloud rain"), (5, "tea tea")]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     run = f"{tmp_path}/flat"
-    result, tables = partition_documents(texts, run, clusters=2, top=1, max_iter=None, restarts=3)
+    result, tables = partition_documents(texts, run, clusters=2, top=1, max_iter=3, restarts=2)
     classes = {r.doc_id: r.cluster for r in readers.read_classes(spark, f"{run}/class").collect()}
     assert classes["1"] == classes["2"] == classes["5"] != classes["3"] == classes["4"]
     found = readers.read_report(spark, f"{run}/clusters")
