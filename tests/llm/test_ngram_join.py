@@ -57,10 +57,15 @@ def crowd():
     return rows
 
 
-@pytest.mark.parametrize("thresholds, dealt, listed", [((8, 256), 1024, 10**6), ((2, 5), 8, 10**6), ((50, 1000), 8, 50)])
-def test_crowded_groups(spark, monkeypatch, thresholds, dealt, listed):
+@pytest.mark.parametrize(
+    "thresholds, dealt, listed, crowded, long",
+    [((8, 256), 1024, 10**6, 32, 2048), ((2, 5), 8, 10**6, 4, 2048), ((50, 1000), 8, 50, 2, 60)],
+)
+def test_crowded_groups(spark, monkeypatch, thresholds, dealt, listed, crowded, long):
     monkeypatch.setattr(op, "THRESHOLDS", thresholds)
     monkeypatch.setattr(op, "DEALT", dealt)
+    monkeypatch.setattr(op, "CROWD", crowded)
+    monkeypatch.setattr(op, "LONG", long)
     monkeypatch.setattr(op, "LISTED", listed)
     monkeypatch.setattr(op, "COUNTED", 5000)
     monkeypatch.setattr(op, "RANGE_BYTES", 10_000)
@@ -100,6 +105,28 @@ def test_similar_sets_share_a_signature():
         assert op.differing(a, b) <= len(np.setxor1d(x, y)) and op.differing(a, a) == 0
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_tiles_keep_every_similar_pair(sides):
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 1 << 64, 130, np.uint64)
+    sets = []
+    for _ in range(90):
+        own = draw.integers(0, 1 << 64, int(draw.integers(0, 60)), np.uint64)
+        sets.append(np.unique(np.concatenate([base[: int(draw.integers(60, 131))], own])))
+    n, root, side = np.array([len(s) for s in sets]), draw.integers(0, 40, 90), draw.integers(0, sides, 90)
+    found = list(zip(*(x.tolist() for x in op.near_in_tile(n, root, [op.parity(s) for s in sets], side))))
+    pairs = {tuple(sorted(p)) for p in found}
+    assert len(pairs) == len(found)
+    wanted = set()
+    for b in range(90):
+        for a in range(b):
+            if root[a] != root[b] and (sides == 1 or side[a] != side[b]):
+                if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (n[a] + n[b]):
+                    wanted.add((a, b))
+    assert wanted and wanted <= pairs
+    assert all(root[a] != root[b] and (sides == 1 or side[a] != side[b]) for a, b in pairs)
+
+
 def test_counts_survive_packing():
     draw = np.random.default_rng(6)
     sets = [draw.integers(0, 1 << 64, 500, np.uint64) for _ in range(5)]

@@ -11,7 +11,8 @@
    about as many signatures as tokens.
 3. Sets that share a signature are candidates. First each meets one leader per signature only; what that links is
    one component, and only sets of different components need be compared after that, down to the last pair. No
-   group of similar sets is ever paired with itself.
+   group of similar sets is ever paired with itself. Below signatures of many sets they are compared inside tasks, tile
+   by tile, by their bitmaps, and only what these cannot rule out becomes a row.
 4. A pair is checked by length, then by an upper bound of the overlap from parity bitmaps of the sets, and what is left by
    counting common tokens.
 """
@@ -45,6 +46,9 @@ REMEMBERED = 100_000  # sets
 BLANK = re.compile(rb"[\x09-\x0d ]")
 IS_BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 DEALT = 1024  # rows of one key that meet in a task
+CROWD = 32  # sets below a signature from which their pairs are tested before they become rows
+LONG = 2048  # tokens; below a signature, bitmaps of larger sets are not copied
+YIELD = 10  # leaders are drawn anew while one in so many of their pairs links
 FACTORS = np.random.default_rng(7).integers(1 << 62, 1 << 63, 12, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -117,8 +121,8 @@ class Shingles:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """One bit per token value modulo a power of two of about the set's size: whether an odd number of tokens has it."""
-    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    """One bit per token value modulo a power of two, four to eight per token: whether an odd number of tokens has it."""
+    size = max(64, 4 << (len(tokens) - 1).bit_length())
     hits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits(hits & 1).tobytes()
 
@@ -363,6 +367,7 @@ class _Links:
         """``a, b`` of the distinct ``pairs(a, b)`` whose sets are similar, written."""
         self.step += 1
         pairs = self.work.write(pairs.distinct(), f"pairs_{self.step}")
+        self.tried = pairs.count()
         for end, other in (("a", "b"), ("b", "a")):
             side = self.sets.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
             pairs = _dealt_join(pairs, side, end, other)
@@ -417,14 +422,82 @@ def _crossing(rows: DataFrame, members: DataFrame, work: Workspace, name: str) -
     return work.write(rooted.join(several.select("sig"), "sig"), f"crossing_{name}")
 
 
-def _remaining(rows: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
-    """``a, b``: all pairs of sets of different components of ``rows(sig, sid, n, root)`` that may be similar by size.
+def _remaining(rows: DataFrame, members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """``a, b``: all pairs of sets of different components of ``rows(sig, sid, n, root)`` that may be similar.
 
-    Either set by set below each signature, or each set of a smaller component with all sets of a larger one
-    that it shares a signature with: whichever makes fewer rows, by their exact numbers.
+    Below a signature of few sets they are paired set by set. Larger crowds are tested in tiles, but for crowds of long sets.
     """
+    crowds = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most")).filter(F.col("k") > CROWD)
+    crowds = work.write(crowds, "crowds")
+    rows = rows.join(broadcast_if_bounded(crowds, crowds.count()), "sig", "left")
+    few = _direct(rows.filter("k IS NULL"))
+    long = F.col("most") > LONG
+    return few.union(_tiled(rows.filter(~long), sets, work)).union(_of_long(rows.filter(long), members, work))
+
+
+def _direct(rows: DataFrame) -> DataFrame:
     a, b = (rows.select("sig", *[F.col(c).alias(f"{c}_{end}") for c in ("sid", "n", "root")]) for end in "ab")
-    direct = a.join(b, "sig").filter("root_a < root_b").filter(SIZED).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    pairs = a.join(b, "sig").filter("root_a < root_b").filter(SIZED)
+    return pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+
+
+def near_in_tile(n: np.ndarray, root: np.ndarray, bits: list[bytes], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile that sizes, components and bitmaps allow.
+
+    ``side`` is 0 or 1; if both occur, only pairs of unlike sides are meant, as other tiles hold the rest.
+    """
+    lengths = np.array([len(x) for x in bits])
+    parts = [(np.flatnonzero(lengths == w), w) for w in np.unique(lengths)]
+    parts = [(at, w, np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)) for at, w in parts]
+    both = side.min() != side.max()
+    found = [np.empty((2, 0), np.int64)]
+    for i, (rows, width, mine) in enumerate(parts):
+        for cols, other_width, theirs in parts[i:]:
+            folded = np.bitwise_xor.reduce(theirs.reshape(len(cols), other_width // width, -1), axis=1)
+            for start in range(0, len(rows), 64):
+                a, b = rows[start : start + 64, None], cols[None]
+                total = n[a] + n[b]
+                fits = (root[a] != root[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+                fits &= (a < b) | (rows is not cols)
+                fits &= (side[a] != side[b]) | (not both)
+                x, y = np.nonzero(fits)
+                least = np.empty(len(x), np.int64)
+                for at in range(0, len(x), 1 << 14):
+                    span = slice(at, at + (1 << 14))
+                    least[span] = np.bitwise_count(mine[start + x[span]] ^ folded[y[span]]).sum(axis=1)
+                kept = 9 * least <= total[x, y]
+                found.append(np.stack([rows[start + x[kept]], cols[y[kept]]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """``a, b`` from ``rows(sig, sid, n, root, k)``: sets are dealt into blocks of about ``DEALT`` per signature; a task
+    holds two blocks, or one with itself, with the sets' bitmaps."""
+    rows = work.write(rows.select("sig", "sid", "n", "root", "k"), "crowded")
+    wanted = rows.select("sid").distinct()
+    bits = work.write(wanted.join(sets.select("sid", "bits"), "sid"), "crowded_bits")
+    blocks = F.ceil(F.col("k") / DEALT)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "sig"), blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select(
+        "sig", "sid", "n", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("long").alias("side"),
+    )
+    rows = _dealt_join(rows, bits, "sid", "sig")
+
+    def near(table: pa.Table) -> pa.Table:
+        sid, n, root, side = (table[c].to_numpy() for c in ("sid", "n", "root", "side"))
+        a, b = near_in_tile(n, root, table["bits"].to_pylist(), side)
+        return pa.table({"a": np.minimum(sid[a], sid[b]), "b": np.maximum(sid[a], sid[b])})
+
+    return rows.groupBy("sig", "low", "high").applyInArrow(near, fields(a=LongType(), b=LongType()))
+
+
+def _of_long(rows: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
+    """``a, b`` either set by set below each signature, or each set of a smaller component with all sets of a larger one
+    that it shares a signature with: whichever makes fewer rows, by their exact numbers."""
+    rows = work.write(rows.select("sig", "sid", "n", "root"), "long")
+    direct = _direct(rows)
     per = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
     per = per.groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
     n_direct = per.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()[0] or 0
@@ -451,7 +524,7 @@ def _linked(rows: DataFrame, links: _Links, work: Workspace) -> DataFrame:
     """``sid, root`` of all sets but roots, for the candidates of ``rows(sig, lead, sid)``.
 
     After the first leaders every signature draws another one, each by itself, so that a set outside a crowd of
-    similar sets meets many of them; this goes on while it links anything. What is left is compared in full.
+    similar sets meets many of them; this goes on while it links one in ``YIELD`` pairs. What is left is compared in full.
     """
     edges = links.of(rows.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")))
     for turn in count():
@@ -465,11 +538,10 @@ def _linked(rows: DataFrame, links: _Links, work: Workspace) -> DataFrame:
         lead = F.struct(F.xxhash64("sid", "sig", F.lit(turn)).alias("h"), F.col("sid").alias("a"), F.col("root").alias("of"))
         led = left.join(left.groupBy("sig").agg(F.min(lead).alias("lead")), "sig").filter("root <> lead.of")
         found = links.of(led.select("lead.a", F.col("sid").alias("b")))
-        if found.isEmpty():
-            found = links.of(_remaining(left, members, work))
-            edges = work.write(edges.unionByName(found), "edges_all")
-            return components(edges, work, "all").select(F.col("node").alias("sid"), "root")
         edges = work.write(edges.unionByName(found), f"edges_{turn}")
+        if YIELD * found.count() < links.tried:
+            edges = work.write(edges.unionByName(links.of(_remaining(left, members, links.sets, work))), "edges_all")
+            return components(edges, work, "all").select(F.col("node").alias("sid"), "root")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
