@@ -1,5 +1,8 @@
 """What grows with the input: files, tasks, broadcasts and rows of the larger tables."""
 
+from pyspark.sql import functions as F
+
+from textgrove.operators import tokens
 from textgrove.sources import sinks
 
 
@@ -13,3 +16,12 @@ def test_matrix_files_follow_the_non_zero_cells(spark, tmp_path, monkeypatch):
     lines = [r.value.split("\t") for r in spark.read.text(f"{tmp_path}/matrix/rows").collect()]
     assert sorted(line.index("0.5") for line in lines) == list(range(40)) and {len(line) for line in lines} == {5000}
     assert spark.read.text(f"{tmp_path}/matrix/header").first().value == "40 5000"
+
+
+def test_tasks_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "TASK_BYTES", 10_000)
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 100) AS text")
+    rows = tokens.tokenize(docs, "doc_id", "text")
+    # 100,000 bytes; AQE used to merge them into one task.
+    found = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("doc_id").alias("docs")).collect()
+    assert len(found) == 10 and sum(r.docs for r in found) == 200
