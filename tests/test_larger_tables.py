@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from textgrove.operators import tokens
+from textgrove.operators.bisect import bisect
+from textgrove.plans.documents import document_corpus
 from textgrove.sources import sinks
+from textgrove.workspace import BROADCAST_LIMIT_CONF
 
 
 def test_matrix_files_follow_the_non_zero_cells(spark, tmp_path, monkeypatch):
@@ -25,3 +28,31 @@ def test_tasks_follow_the_text(spark, monkeypatch):
     # 100,000 bytes; AQE used to merge them into one task.
     found = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("doc_id").alias("docs")).collect()
     assert len(found) == 10 and sum(r.docs for r in found) == 200
+
+
+def _limited(spark, limit, build):
+    spark.conf.set(BROADCAST_LIMIT_CONF, str(limit))
+    try:
+        return build()
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)
+
+
+def test_large_vocabularies_go_block_by_block(spark):
+    texts = spark.range(60).selectExpr("id AS doc_id", "concat_ws(' ', 'all', char(97 + id % 26), char(97 + id % 5)) AS text")
+    rows = lambda t: sorted((r.doc_id, r.term_id, round(r.w, 9)) for r in t.collect())
+    want = rows(document_corpus(texts).weights)
+    # Eight terms a broadcast: the join used to shuffle all term frequencies here.
+    weights = _limited(spark, 8 * 88, lambda: document_corpus(texts).weights)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert rows(weights) == want and "Join" not in plan.split("Subquery")[0]
+
+
+def test_rounds_keep_their_width_beyond_one_broadcast(spark):
+    rows = [(d, (d * 7 + t) % 23, float(1 + (d + t) % 4)) for d in range(60) for t in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, term_id int, w double")
+    whole = bisect(table, 6)
+    # 30 rows a broadcast, up to 46 in the centres of two children: before, each leaf had a round of its own.
+    parts = _limited(spark, 30 * 112, lambda: bisect(table, 6))
+    found = lambda tree: sorted((r.doc_id, r.cluster) for r in tree.classes.collect())
+    assert found(parts) == found(whole) and parts.summary["rounds"] < 6
