@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textgrove.operators import tokens
+from textgrove.operators import network, tokens
 from textgrove.operators.bisect import bisect
 from textgrove.plans.documents import document_corpus
 from textgrove.sources import sinks
@@ -56,3 +56,12 @@ def test_rounds_keep_their_width_beyond_one_broadcast(spark):
     parts = _limited(spark, 30 * 112, lambda: bisect(table, 6))
     found = lambda tree: sorted((r.doc_id, r.cluster) for r in tree.classes.collect())
     assert found(parts) == found(whole) and parts.summary["rounds"] < 6
+
+
+def test_pairs_of_words_are_shuffled_as_numbers(spark):
+    lines = spark.createDataFrame([(0, ["b", "a", "b"]), (1, ["a"])], "doc_id long, words array<string>")
+    rows = network.cooccurrence(lines)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # Pairs used to be shuffled as two strings.
+    assert "Exchange hashpartitioning(pair#" in plan and "Exchange hashpartitioning(w1" not in plan
+    assert sorted((r.w1, r.w2, r.n) for r in rows.collect()) == [("a", "a", 2), ("a", "b", 2), ("b", "a", 2), ("b", "b", 4)]
