@@ -127,6 +127,45 @@ def test_tiles_keep_every_similar_pair(sides):
     assert all(root[a] != root[b] and (sides == 1 or side[a] != side[b]) for a, b in pairs)
 
 
+def roots_of(pairs, root):
+    """The components that ``pairs`` of places make of those in ``root``."""
+    root = list(root)
+    for a, b in pairs:
+        root = [root[a] if r == root[b] else r for r in root]
+    return [root.index(r) for r in root]
+
+
+def test_closest_pairs_connect_what_all_pairs_connect():
+    draw = np.random.default_rng(9)
+    bases = draw.integers(0, 1 << 64, (6, 100), np.uint64)
+    sets = [np.unique(np.r_[bases[i % 6][int(draw.integers(0, 9)):], draw.integers(0, 1 << 64, 4, np.uint64)]) for i in range(120)]
+    n, root, side = np.array([len(s) for s in sets]), draw.integers(0, 90, 120), draw.integers(0, 2, 120)
+    bits = [op.parity(s) for s in sets]
+    every, few = (list(zip(*f(n, root, bits, side))) for f in (op.near_in_tile, op.closest_in_tile))
+    assert set(few) < set(every) and roots_of(few, root) == roots_of(every, root)
+    # One pair less than components that become one.
+    assert len(few) == len(set(root)) - len(set(roots_of(every, root))) < len(every) / 5
+    none = op.closest_in_tile(n[:1], root[:1], bits[:1], side[:1])
+    assert not len(none[0]) and not len(none[1])
+
+
+def test_rows_of_tiles_follow_the_sets_of_a_crowd(spark, monkeypatch):
+    made, tiled = [], op._tiled
+
+    def counted(rows, sets, work, name, closest=False):
+        found = work.write(tiled(rows, sets, work, name, closest), f"made_{name}")
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(op, "_tiled", counted)
+    monkeypatch.setattr(op, "THRESHOLDS", (2, 5))
+    monkeypatch.setattr(op, "CROWD", 4)
+    rows = crowd()
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    # 300 sets; the same pairs used to be made below each of their common signatures, 5,484 rows.
+    assert made and sum(made) < 3 * len(rows)
+
+
 def test_counts_survive_packing():
     draw = np.random.default_rng(6)
     sets = [draw.integers(0, 1 << 64, 500, np.uint64) for _ in range(5)]

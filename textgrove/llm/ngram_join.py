@@ -12,7 +12,9 @@
 3. Sets that share a signature are candidates. First each meets one leader per signature only; what that links is
    one component, and only sets of different components need be compared after that, down to the last pair. No
    group of similar sets is ever paired with itself. Below signatures of many sets they are compared inside tasks, tile
-   by tile, by their bitmaps, and only what these cannot rule out becomes a row.
+   by tile, by their bitmaps; signatures of the same crowd are compared as one. A tile first gives only the closest pairs
+   that connect its components, never more than it has sets; what these leave apart, and the bitmaps cannot
+   rule out, becomes a row.
 4. A pair is checked by length, then by an upper bound of the overlap from parity bitmaps of the sets, and what is left by
    counting common tokens.
 """
@@ -422,17 +424,45 @@ def _crossing(rows: DataFrame, members: DataFrame, work: Workspace, name: str) -
     return work.write(rooted.join(several.select("sig"), "sig"), f"crossing_{name}")
 
 
-def _remaining(rows: DataFrame, members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+def _remaining(rows: DataFrame, members: DataFrame, sets: DataFrame, work: Workspace, name: str) -> DataFrame:
     """``a, b``: all pairs of sets of different components of ``rows(sig, sid, n, root)`` that may be similar.
 
     Below a signature of few sets they are paired set by set. Larger crowds are tested in tiles, but for crowds of long sets.
     """
-    crowds = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most")).filter(F.col("k") > CROWD)
-    crowds = work.write(crowds, "crowds")
-    rows = rows.join(broadcast_if_bounded(crowds, crowds.count()), "sig", "left")
+    rows = _crowded(rows, work, name)
     few = _direct(rows.filter("k IS NULL"))
     long = F.col("most") > LONG
-    return few.union(_tiled(rows.filter(~long), sets, work)).union(_of_long(rows.filter(long), members, work))
+    return few.union(_tiled(rows.filter(~long), sets, work, name)).union(_of_long(rows.filter(long), members, work))
+
+
+def _closest(rows: DataFrame, sets: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``a, b``: of the crowds that ``_remaining`` tests in tiles, what connects the components of each tile most closely."""
+    rows = _crowded(rows, work, name).filter(F.col("most") <= LONG)
+    return _tiled(rows, sets, work, name, closest=True)
+
+
+def _crowded(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``rows(sig, sid, n, root)`` with the size ``k`` of the crowd, its ``most`` tokens and its first set; null for a few sets."""
+    crowds = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most"), F.min("sid").alias("lead"))
+    crowds = work.write(crowds.filter(F.col("k") > CROWD), f"crowds_{name}")
+    return rows.join(broadcast_if_bounded(crowds, crowds.count()), "sig", "left")
+
+
+def _bundled(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``sig, sid, n, root, k``: crowds of ``rows`` with the same first set become one where that makes fewer comparisons.
+
+    A group of similar sets has many signatures in common, and below each of them nearly the same sets.
+    """
+    rows = work.write(rows.select("sig", "sid", "n", "root", "k", "lead"), f"apart_{name}")
+    one = F.count(F.lit(1))
+    joint = work.write(rows.select("lead", "sid", "n", "root").distinct(), f"joint_{name}")
+    # Every set of a crowd of k adds its k comparisons.
+    apart = rows.groupBy("lead").agg(F.sum("k").alias("each"))
+    merged = apart.join(joint.groupBy("lead").agg(one.alias("size")), "lead").filter("size * size <= each")
+    merged = work.write(merged.select("lead", "size"), f"merged_{name}")
+    held = broadcast_if_bounded(merged, merged.count())
+    joint = joint.join(held, "lead").select(F.col("lead").alias("sig"), "sid", "n", "root", F.col("size").alias("k"))
+    return rows.join(held, "lead", "left_anti").select("sig", "sid", "n", "root", "k").union(joint)
 
 
 def _direct(rows: DataFrame) -> DataFrame:
@@ -446,11 +476,44 @@ def near_in_tile(n: np.ndarray, root: np.ndarray, bits: list[bytes], side: np.nd
 
     ``side`` is 0 or 1; if both occur, only pairs of unlike sides are meant, as other tiles hold the rest.
     """
+    return _measured(n, root, bits, side)[:2]
+
+
+def closest_in_tile(n: np.ndarray, root: np.ndarray, bits: list[bytes], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``near_in_tile`` the pairs that connect all components it connects, the smallest shares of differing tokens first.
+
+    These are fewer than the components of the tile. Every round joins each part to its nearest other one.
+    """
+    a, b, least = _measured(n, root, bits, side)
+    order = np.lexsort((b, a, least / (n[a] + n[b])))
+    a, b = a[order], b[order]
+    names, part = np.unique(root, return_inverse=True)
+    place, chosen = np.arange(len(a)), [np.empty(0, np.int64)]
+    while len(place := place[part[a[place]] != part[b[place]]]):
+        x, y = part[a[place]], part[b[place]]
+        first = np.full(len(names), len(a))
+        np.minimum.at(first, x, place)
+        np.minimum.at(first, y, place)
+        mine = np.flatnonzero(first < len(a))
+        chosen.append(np.unique(first[mine]))
+        to = np.arange(len(names))
+        to[mine] = part[a[first[mine]]] + part[b[first[mine]]] - mine
+        # Only two parts that chose each other go round in a circle: the smaller one stays.
+        to = np.where((to[to] == np.arange(len(names))) & (np.arange(len(names)) < to), np.arange(len(names)), to)
+        while (to[to] != to).any():
+            to = to[to]
+        part = to[part]
+    at = np.concatenate(chosen)
+    return a[at], b[at]
+
+
+def _measured(n: np.ndarray, root: np.ndarray, bits: list[bytes], side: np.ndarray) -> np.ndarray:
+    """Both places of each pair of ``near_in_tile``, and in how many tokens it differs at least."""
     lengths = np.array([len(x) for x in bits])
     parts = [(np.flatnonzero(lengths == w), w) for w in np.unique(lengths)]
     parts = [(at, w, np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)) for at, w in parts]
     both = side.min() != side.max()
-    found = [np.empty((2, 0), np.int64)]
+    found = [np.empty((3, 0), np.int64)]
     for i, (rows, width, mine) in enumerate(parts):
         for cols, other_width, theirs in parts[i:]:
             folded = np.bitwise_xor.reduce(theirs.reshape(len(cols), other_width // width, -1), axis=1)
@@ -466,16 +529,17 @@ def near_in_tile(n: np.ndarray, root: np.ndarray, bits: list[bytes], side: np.nd
                     span = slice(at, at + (1 << 14))
                     least[span] = np.bitwise_count(mine[start + x[span]] ^ folded[y[span]]).sum(axis=1)
                 kept = 9 * least <= total[x, y]
-                found.append(np.stack([rows[start + x[kept]], cols[y[kept]]]))
-    return tuple(np.concatenate(found, axis=1))
+                found.append(np.stack([rows[start + x[kept]], cols[y[kept]], least[kept]]))
+    return np.concatenate(found, axis=1)
 
 
-def _tiled(rows: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
-    """``a, b`` from ``rows(sig, sid, n, root, k)``: sets are dealt into blocks of about ``DEALT`` per signature; a task
-    holds two blocks, or one with itself, with the sets' bitmaps."""
-    rows = work.write(rows.select("sig", "sid", "n", "root", "k"), "crowded")
+def _tiled(rows: DataFrame, sets: DataFrame, work: Workspace, name: str, closest: bool = False) -> DataFrame:
+    """``a, b`` from crowds ``rows(sig, sid, n, root, k, lead)``: sets are dealt into blocks of about ``DEALT`` per crowd; a
+    task holds two blocks, or one with itself, with the sets' bitmaps. ``closest`` takes ``closest_in_tile`` only."""
+    rows = work.write(_bundled(rows, work, name), f"crowded_{name}")
     wanted = rows.select("sid").distinct()
-    bits = work.write(wanted.join(sets.select("sid", "bits"), "sid"), "crowded_bits")
+    bits = work.write(wanted.join(sets.select("sid", "bits"), "sid"), f"crowded_bits_{name}")
+    pairs = closest_in_tile if closest else near_in_tile
     blocks = F.ceil(F.col("k") / DEALT)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "sig"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -487,7 +551,7 @@ def _tiled(rows: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
 
     def near(table: pa.Table) -> pa.Table:
         sid, n, root, side = (table[c].to_numpy() for c in ("sid", "n", "root", "side"))
-        a, b = near_in_tile(n, root, table["bits"].to_pylist(), side)
+        a, b = pairs(n, root, table["bits"].to_pylist(), side)
         return pa.table({"a": np.minimum(sid[a], sid[b]), "b": np.maximum(sid[a], sid[b])})
 
     return rows.groupBy("sig", "low", "high").applyInArrow(near, fields(a=LongType(), b=LongType()))
@@ -524,8 +588,10 @@ def _linked(rows: DataFrame, links: _Links, work: Workspace) -> DataFrame:
     """``sid, root`` of all sets but roots, for the candidates of ``rows(sig, lead, sid)``.
 
     After the first leaders every signature draws another one, each by itself, so that a set outside a crowd of
-    similar sets meets many of them; this goes on while it links one in ``YIELD`` pairs. What is left is compared in full.
+    similar sets meets many of them; this goes on while it links one in ``YIELD`` pairs. Then the closest pairs of crowds
+    are tried in the same way, as their links spare all pairs of similar sets. What is left is compared in full.
     """
+    drawn = True
     edges = links.of(rows.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")))
     for turn in count():
         roots = components(edges, work, f"turn_{turn}").select(F.col("node").alias("sid"), "root")
@@ -535,13 +601,18 @@ def _linked(rows: DataFrame, links: _Links, work: Workspace) -> DataFrame:
         left = _crossing(rows, members, work, str(turn))
         if left.isEmpty():
             return roots
-        lead = F.struct(F.xxhash64("sid", "sig", F.lit(turn)).alias("h"), F.col("sid").alias("a"), F.col("root").alias("of"))
-        led = left.join(left.groupBy("sig").agg(F.min(lead).alias("lead")), "sig").filter("root <> lead.of")
-        found = links.of(led.select("lead.a", F.col("sid").alias("b")))
-        edges = work.write(edges.unionByName(found), f"edges_{turn}")
-        if YIELD * found.count() < links.tried:
-            edges = work.write(edges.unionByName(links.of(_remaining(left, members, links.sets, work))), "edges_all")
-            return components(edges, work, "all").select(F.col("node").alias("sid"), "root")
+        if drawn:
+            lead = F.struct(F.xxhash64("sid", "sig", F.lit(turn)).alias("h"), F.col("sid").alias("a"), F.col("root").alias("of"))
+            led = left.join(left.groupBy("sig").agg(F.min(lead).alias("lead")), "sig").filter("root <> lead.of")
+            found = links.of(led.select("lead.a", F.col("sid").alias("b")))
+            edges = work.write(edges.unionByName(found), f"edges_{turn}")
+            drawn = YIELD * found.count() >= links.tried
+        if not drawn:
+            found = links.of(_closest(left, links.sets, work, str(turn)))
+            edges = work.write(edges.unionByName(found), f"closest_{turn}")
+            if found.isEmpty() or YIELD * found.count() < links.tried:
+                edges = work.write(edges.unionByName(links.of(_remaining(left, members, links.sets, work, "all"))), "edges_all")
+                return components(edges, work, "all").select(F.col("node").alias("sid"), "root")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
