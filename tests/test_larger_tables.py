@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from textgrove.operators import network, tokens
 from textgrove.operators.bisect import bisect
-from textgrove.plans.documents import document_corpus
+from textgrove.plans.documents import document_corpus, partition_documents
 from textgrove.sources import sinks
-from textgrove.workspace import BROADCAST_LIMIT_CONF
+from textgrove.workspace import BROADCAST_LIMIT_CONF, bucket_count
 
 
 def test_matrix_files_follow_the_non_zero_cells(spark, tmp_path, monkeypatch):
@@ -65,3 +65,29 @@ def test_pairs_of_words_are_shuffled_as_numbers(spark):
     # Pairs used to be shuffled as two strings.
     assert "Exchange hashpartitioning(pair#" in plan and "Exchange hashpartitioning(w1" not in plan
     assert sorted((r.w1, r.w2, r.n) for r in rows.collect()) == [("a", "a", 2), ("a", "b", 2), ("b", "a", 2), ("b", "b", 4)]
+
+
+def test_buckets_hold_what_a_task_sorts(spark):
+    # Eight million rows a bucket took 1,280 MB of a task.
+    assert bucket_count(spark, 160_000_000) == 80
+
+
+def test_raw_weights_of_a_run_are_joined_without_a_shuffle(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(1, "tea cup tea"), (2, "tea cup"), (3, "rain cloud"), (4, "rain")], "doc_id long, text string")
+    plans = []
+    keep = sinks.write_summary
+
+    def noted(*tables):
+        plans.append(tables[-1]._jdf.queryExecution().executedPlan().toString())
+        keep(*tables)
+
+    monkeypatch.setattr(sinks, "write_summary", noted)
+    # One term a broadcast, which used to leave this join to a shuffle of all term frequencies.
+    _limited(spark, 88, lambda: partition_documents(texts, f"{tmp_path}/run", clusters=2))
+    assert "Join" not in plans[0]
+    raw = spark.read.parquet(f"{tmp_path}/run/summary/raw_weights").collect()
+    found = sorted((r.term, r.doc_id, round(r.tf, 6), r.df) for r in raw)
+    assert found == [
+        ("cloud", 3, 0.5, 1), ("cup", 1, 0.333333, 2), ("cup", 2, 0.5, 2), ("rain", 3, 0.5, 2), ("rain", 4, 1.0, 2),
+        ("tea", 1, 0.666667, 2), ("tea", 2, 0.5, 2),
+    ]
