@@ -1,12 +1,15 @@
 """What grows with the input: files, tasks, broadcasts and rows of the larger tables."""
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from textgrove.operators import network, tokens
+from textgrove.operators import network, tokens, weights
 from textgrove.operators.bisect import bisect
 from textgrove.plans.documents import document_corpus, partition_documents
 from textgrove.sources import sinks
-from textgrove.workspace import BROADCAST_LIMIT_CONF, bucket_count
+from textgrove.workspace import BROADCAST_LIMIT_CONF, Workspace, bucket_count
 
 
 def test_matrix_files_follow_the_non_zero_cells(spark, tmp_path, monkeypatch):
@@ -91,3 +94,26 @@ def test_raw_weights_of_a_run_are_joined_without_a_shuffle(spark, tmp_path, monk
         ("cloud", 3, 0.5, 1), ("cup", 1, 0.333333, 2), ("cup", 2, 0.5, 2), ("rain", 3, 0.5, 2), ("rain", 4, 1.0, 2),
         ("tea", 1, 0.666667, 2), ("tea", 2, 0.5, 2),
     ]
+
+
+def test_blocks_of_terms_read_their_own_pages(spark, tmp_path, monkeypatch):
+    words = spark.range(300).selectExpr("id AS doc_id", "concat('w', id % 97) AS term", "0.5D AS tf")
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    work = Workspace(spark)
+    tf = weights.store_term_freq(words.coalesce(2), work)
+    for file in (f for f in Path(f"{work.root}/tf").iterdir() if f.suffix == ".parquet"):
+        slots = pq.read_table(file)["slot"].to_pylist()
+        assert slots == sorted(slots) and len(set(slots)) > 1
+    reads = []
+    keep = Workspace.write
+
+    def noted(self, rows, name):
+        reads.append(rows._jdf.queryExecution().executedPlan().toString())
+        return keep(self, rows, name)
+
+    monkeypatch.setattr(Workspace, "write", noted)
+    rows = _limited(spark, 10 * 80, lambda: sinks.weight_inputs(tf, df, df.count(), work))
+    # Each block used to test the hash of every stored term.
+    assert len(reads) > 9 and all("GreaterThanOrEqual(slot" in r and "LessThanOrEqual(slot" in r for r in reads)
+    want = words.join(df, "term").select("term", "doc_id", "tf", "df")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
