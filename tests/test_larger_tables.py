@@ -1,11 +1,14 @@
 """What grows with the input: files, tasks, broadcasts and rows of the larger tables."""
 
+import re
 from pathlib import Path
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from textgrove.operators import network, tokens, weights
+from textgrove import queries, workspace
+from textgrove.operators import network, report, tokens, weights
 from textgrove.operators.bisect import bisect
 from textgrove.plans.documents import document_corpus, partition_documents
 from textgrove.sources import sinks
@@ -117,3 +120,24 @@ def test_blocks_of_terms_read_their_own_pages(spark, tmp_path, monkeypatch):
     assert len(reads) > 9 and all("GreaterThanOrEqual(slot" in r and "LessThanOrEqual(slot" in r for r in reads)
     want = words.join(df, "term").select("term", "doc_id", "tf", "df")
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _reported(spark, tmp_path, monkeypatch, name):
+    """Tasks into which a report query deals weights and classes by document, for 296 weights and 20 a task."""
+    texts = spark.range(100).selectExpr(
+        "id AS doc_id", "concat_ws(' ', 'all', char(97 + id % 26), char(97 + id % 5 + 10)) AS text", "if(id % 3 = 0, 'en', 'fr') AS lang"
+    )
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    want = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(workspace, "ROWS_PER_BUCKET", 20)
+    rows = queries.QUERIES[name](spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    tasks = re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want)) and want
+    return [int(n) for n in tasks]
+
+
+@pytest.mark.parametrize("name", ["cluster_report"])
+def test_report_tasks_follow_the_weights(spark, tmp_path, monkeypatch, name):
+    # All weights used to be sorted by document in a fixed number of partitions, eight here.
+    assert _reported(spark, tmp_path, monkeypatch, name) == [15, 15]
