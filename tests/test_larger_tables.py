@@ -137,7 +137,7 @@ def _reported(spark, tmp_path, monkeypatch, name):
     return [int(n) for n in tasks]
 
 
-@pytest.mark.parametrize("name", ["cluster_report", "cluster_vectors"])
+@pytest.mark.parametrize("name", ["cluster_report", "cluster_vectors", "cluster_terms"])
 def test_report_tasks_follow_the_weights(spark, tmp_path, monkeypatch, name):
     # All weights used to be sorted by document in a fixed number of partitions, eight here.
     assert _reported(spark, tmp_path, monkeypatch, name) == [15, 15]
