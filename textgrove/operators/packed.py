@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgrove.sources.numbering import number_rows
-from textgrove.workspace import ROWS_PER_BUCKET, Workspace, broadcast_limit
+from textgrove.workspace import ROWS_PER_BUCKET, Workspace, broadcast_limit, short_rows
 
 # Weights of one packed row, but for terms with more documents than that.
 PACK = 1 << 18
@@ -67,7 +67,8 @@ def pack(space) -> Packed | None:
     rows = rows.join(numbers.select("doc_id", "num").hint("shuffle_hash"), "doc_id").select("term", "num", "w")
     dealt = rows.mapInArrow(_deal(parts), "part INT, term BINARY, num BINARY, w BINARY")
     packed = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_pack(PACK), PACKED_SCHEMA)
-    packed = work.write(packed, "packed")
+    with short_rows(spark):
+        packed = work.write(packed, "packed")
     tasks = spark.sparkContext.defaultParallelism
     return Packed(packed, numbers, spark.sparkContext.broadcast(norms), space.num_doc, space.basis, tasks)
 
