@@ -11,7 +11,7 @@ from textgrove import queries, workspace
 from textgrove.operators import network, report, tokens, weights
 from textgrove.operators.bisect import bisect
 from textgrove.plans.documents import document_corpus, partition_documents
-from textgrove.sources import sinks
+from textgrove.sources import readers, sinks
 from textgrove.workspace import BROADCAST_LIMIT_CONF, Workspace, bucket_count
 
 
@@ -27,6 +27,17 @@ def test_matrix_files_follow_the_non_zero_cells(spark, tmp_path, monkeypatch):
     assert spark.read.text(f"{tmp_path}/matrix/header").first().value == "40 5000"
 
 
+def test_matrix_is_read_by_columns(spark, tmp_path):
+    (tmp_path / "matrix/rows").mkdir(parents=True)
+    lines = ["0.0\t1.5\t0.0\t-2.0", "0.0\t1.0E-5\t0.0\t2.0", "0.0\t0.0\t0.0\t0.0", "-0.0\t0\t0.000\t3.0", "7.25"]
+    (tmp_path / "matrix/rows/part-0").write_text("\n".join(lines) + "\n")
+    # Every cell of the grid used to become a row.
+    rows = readers.matrix_columns(spark, f"{tmp_path}/matrix")
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = rows.groupBy("term_id").agg(F.sum("docs").alias("docs"), F.sum("w").alias("w")).collect()
+    assert sorted((r.term_id, r.docs, round(r.w, 9)) for r in found) == [(0, 1, 7.25), (1, 2, 1.50001), (2, 0, 0.0), (3, 3, 3.0)]
+
+
 def test_tasks_follow_the_text(spark, monkeypatch):
     monkeypatch.setattr(tokens, "TASK_BYTES", 10_000)
     docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 100) AS text")
